@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "serving")
+MODULES = ("scalars", "serving", "prep")
 
 
 def load():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.schema import EXTRA
+from flowsieve.schema import EXTRA, SERIES_FOLDERS, SERIES_LEVELS
 
 ORIGIN_US = 1_704_067_200_000_000
 
@@ -219,3 +219,109 @@ def merged_training(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("mix").alias("dataset_source"),
         F.lit("x").alias("type"),
     )
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time-series rows with the eleven detector features, one per order, with folder and level."""
+    li = table(spark, sf_dir, "lineitem")
+    udp = F.col("l_linenumber") % 3 == 0
+    back = F.col("l_returnflag") == "R"
+    price = F.floor("l_extendedprice").cast("bigint")
+    n = lambda cond: F.count_if(cond).cast("double")
+    s = lambda cond: F.coalesce(F.sum(F.when(cond, price)), F.lit(0)).cast("double")
+    rows = li.groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_flows"),
+        F.sum(F.floor("l_quantity").cast("bigint")).cast("double").alias("n_packets"),
+        F.sum(price).cast("double").alias("n_bytes"),
+        (F.max("l_linenumber") - F.min("l_linenumber")).cast("double").alias("avg_duration"),
+        (n(~udp) / (n(udp) + 1)).alias("tcp_udp_ratio_packets"),
+        (s(~udp) / (s(udp) + 1)).alias("tcp_udp_ratio_bytes"),
+        ((n(back) + 1) / (n(~back) + 1)).alias("dir_ratio_packets"),
+        ((s(back) + 1) / (s(~back) + 1)).alias("dir_ratio_bytes"),
+        (F.sum(F.col("l_partkey") % 128) / F.count(F.lit(1))).alias("avg_ttl"),
+        F.count_distinct(F.col("l_partkey") % 100).cast("double").alias("n_dest_ports"),
+        F.count_distinct("l_suppkey").cast("double").alias("n_dest_ip"),
+    )
+    names = lambda values: F.array(*[F.lit(v) for v in values])
+    return rows.select(
+        "*",
+        F.get(names(SERIES_FOLDERS), (F.col("row_id") % 4).cast("int")).alias("folder"),
+        F.get(names(SERIES_LEVELS), (F.col("row_id") % 3).cast("int")).alias("agg_level"),
+    )
+
+
+def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated packet text, one line per event, some blank, short or overlong."""
+    f = flow_columns(spark, sf_dir)
+    text = lambda c: c.cast("string")
+    tcp, udp = F.col("id") % 3 == 0, F.col("id") % 3 == 1
+    web, tls = F.col("id") % 12 == 0, F.col("id") % 12 == 6
+    only = lambda cond, c: F.when(cond, c).otherwise(F.lit(""))
+    port = text(F.col("dst_port"))
+    whole = F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
+    fields = [
+        F.concat(text(whole), F.lit("."), F.lpad(text(F.col("ts_us") - whole * 1_000_000), 6, "0")),
+        F.col("src_ip"),
+        F.col("dst_ip"),
+        F.when(tcp, F.lit("6")).when(udp, F.lit("17")).otherwise(F.lit("58")),
+        F.when(F.col("k") % 13 == 0, F.lit("big")).otherwise(text(F.col("bytes"))),
+        only(tcp, text(F.col("k") + 40000)),
+        only(tcp, port),
+        only(udp, text(F.col("k") + 50000)),
+        only(udp, port),
+        only(udp & (F.col("dst_port") == 53), F.concat(F.lit("h"), text(F.col("k")), F.lit(".example.net"))),
+        only(udp & (F.col("dst_port") == 53), F.lit("0x1c")),
+        only(udp & (F.col("dst_port") == 53), F.lit("1")),
+        F.lit(""),
+        only(web, F.lit("POST")),
+        only(web, F.concat(F.lit("http://s/"), text(F.col("k")))),
+        only(web, F.lit(" agent ")),
+        only(F.col("id") % 12 == 3, F.lit("200")),
+        only((F.col("id") % 3 == 0), text(F.col("k") * 5)),
+        only(tls, F.lit("0x0303")),
+        only(tls, F.lit("0xc02f")),
+    ]
+    full = F.concat_ws("\t", *fields)
+    line = (
+        F.when(F.col("id") % 101 == 100, F.lit(" \t "))
+        .when(F.col("id") % 7 == 6, F.concat(full, F.lit("\tmore\tcells")))
+        .otherwise(full)
+    )
+    return f.select("id", line.alias("value"))
+
+
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON flow payloads, one per event: objects, lists of two, and unusable scalars."""
+    f = flow_columns(spark, sf_dir)
+    t = lambda c: c.cast("string")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    kind = F.col("id") % 6
+    port = (
+        F.when(kind == 0, t(F.col("dst_port")))
+        .when(kind == 1, q(t(F.col("dst_port"))))
+        .when(kind == 2, F.concat(t(F.col("dst_port")), F.lit(".75")))
+        .when(kind == 3, q(F.concat(t(F.col("dst_port")), F.lit(".7"))))
+        .when(kind == 4, F.lit("true"))
+        .otherwise(F.lit("null"))
+    )
+    when = (
+        F.when(kind == 0, F.concat(t(F.floor(F.col("ts_us") / 1_000_000).cast("bigint")), F.lit(".5")))
+        .when(kind == 1, q(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+        .when(kind == 2, q(F.lit("1700000000")))
+        .otherwise(F.lit("null"))
+    )
+    size = F.when(F.col("k") % 11 == 0, F.lit('"many"')).when(kind == 3, q(t(F.col("bytes")))).otherwise(t(F.col("bytes")))
+    record = F.concat(
+        F.lit('{"src_ip": '), q(F.col("src_ip")), F.lit(', "dst_ip": '), q(F.col("dst_ip")),
+        F.lit(', "proto": '), q(F.col("proto")), F.lit(', "bytes": '), size, F.lit(', "ts": '), when,
+        F.lit(', "dst_port": '), port, F.lit(', "duration": '),
+        F.when(kind == 2, q(F.lit(" 1.5 "))).otherwise(F.concat(t(F.col("k")), F.lit(".25"))),
+        F.lit(', "service": '), F.when(kind == 5, F.lit("null")).otherwise(q(F.lit(" HTTP "))),
+        F.lit(', "ssl_version": "0x303", "unknown": [1], "http_uri": '), q(F.concat(F.lit(" /p/"), t(F.col("k")))), F.lit("}"),
+    )
+    payload = (
+        F.when(F.col("id") % 50 == 49, F.lit("17"))
+        .when(F.col("id") % 2 == 0, record)
+        .otherwise(F.concat(F.lit("["), record, F.lit(", "), record, F.lit("]")))
+    )
+    return f.select("id", payload.alias("value"))

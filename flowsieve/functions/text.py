@@ -84,62 +84,83 @@ def numeric_or_zero(c: Column) -> Column:
 # --- JSON values whose type varies from record to record (VARIANT columns) ---
 
 
-def variant_type(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def variant_values(variants: list[Column]) -> Column:
+    """Array of (kind, text, plain) per value: its type class, its text, its text trimmed.
 
+    Kinds: text, number, flag, nested, null, or absent when the record has no such key.
+    Text is a string as it is, and nested values as JSON. Working on an array keeps
+    one copy of each rule in the plan instead of one per field.
+    """
+    seen = F.transform(
+        F.array(*variants),
+        lambda v: F.struct(
+            F.schema_of_variant(v).alias("schema"), F.try_variant_get(v, "$", "string").alias("text")
+        ),
+    )
 
-def _is_number(kind: Column) -> Column:
-    return kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
+    def classify(s: Column) -> Column:
+        schema = s["schema"]
+        kind = (
+            F.when(schema.isNull(), F.lit("absent"))
+            .when(schema == "STRING", F.lit("text"))
+            .when(schema == "VOID", F.lit("null"))
+            .when(schema == "BOOLEAN", F.lit("flag"))
+            .when(schema.startswith("OBJECT") | schema.startswith("ARRAY"), F.lit("nested"))
+            .otherwise(F.lit("number"))
+        )
+        return F.struct(kind.alias("kind"), s["text"].alias("text"), strip(s["text"]).alias("plain"))
 
+    return F.transform(seen, classify)
+
+
+def _flag(text: Column) -> Column:
+    return F.when(text == "true", F.lit(1)).otherwise(F.lit(0))
 
-def variant_text(v: Column) -> Column:
-    """Text of a JSON value: a string as it is, anything else as JSON, null for JSON null."""
-    kind = variant_type(v)
-    return (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("string"))
-        .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-        .when(kind == "BOOLEAN", F.initcap(F.to_json(v)))
-        .otherwise(F.to_json(v))
-    )
 
+def _number_as_int(text: Column) -> Column:
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
-def int_from_variant(v: Column) -> Column:
-    kind = variant_type(v)
+
+def int_from_json(value: Column) -> Column:
+    kind, text, plain = value["kind"], value["text"], value["plain"]
     return (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
-        .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when(_is_number(kind), F.try_variant_get(v, "$", "double").try_cast("bigint"))
-        .otherwise(int_from_text(variant_text(v)))
+        F.when(kind == "flag", _flag(text).cast("bigint"))
+        .when(kind == "number", _number_as_int(text))
+        .when(kind.isin("text", "nested"), _int_of(plain, plain))
     )
 
 
-def float_from_variant(v: Column) -> Column:
-    kind = variant_type(v)
+def float_from_json(value: Column) -> Column:
+    kind, text = value["kind"], value["text"]
     return (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(None).cast("double"))
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
-        .when(_is_number(kind), F.try_variant_get(v, "$", "double"))
-        .otherwise(float_from_text(variant_text(v)))
+        F.when(kind == "flag", _flag(text).cast("double"))
+        .when(kind == "number", text.try_cast("double"))
+        .when(kind.isin("text", "nested"), float_from_text(text))
     )
 
 
-def strict_int_from_variant(v: Column) -> Column:
+def text_from_json(value: Column) -> Column:
+    return F.when(value["kind"] == "flag", F.initcap(value["text"])).otherwise(value["text"])
+
+
+def clean_text_from_json(value: Column) -> Column:
+    shown = F.when(value["kind"] == "flag", F.initcap(value["text"])).otherwise(value["plain"])
+    return F.nullif(shown, F.lit(""))
+
+
+def strict_int_from_json(value: Column) -> Column:
     """A byte count: numbers truncate, text must be a plain integer, falsy values are 0.
 
     Null marks a value the record must be rejected for.
     """
-    kind = variant_type(v)
-    text = F.try_variant_get(v, "$", "string")
+    kind, text, plain = value["kind"], value["text"], value["plain"]
     return (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(0).cast("bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
-        .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when(_is_number(kind), F.try_variant_get(v, "$", "double").try_cast("bigint"))
-        .when((kind == "STRING") & (text == ""), F.lit(0).cast("bigint"))
+        F.when(kind.isin("absent", "null") | ((kind == "text") & (text == "")), F.lit(0).cast("bigint"))
+        .when(kind == "flag", _flag(text).cast("bigint"))
+        .when(kind == "number", _number_as_int(text))
         .when(
-            (kind == "STRING") & strip(text).rlike(_DECIMAL_INT),
-            F.replace(strip(text), F.lit("_"), F.lit("")).try_cast("bigint"),
+            (kind == "text") & plain.rlike(_DECIMAL_INT),
+            F.replace(plain, F.lit("_"), F.lit("")).try_cast("bigint"),
         )
     )
 
@@ -172,13 +193,10 @@ def epoch_to_time(seconds: Column) -> Column:
     return F.timestamp_micros(F.rint(seconds * 1e6).try_cast("bigint"))
 
 
-def time_from_variant(v: Column, ingest_time: Column) -> Column:
-    kind = variant_type(v)
-    number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(
-        _is_number(kind), F.try_variant_get(v, "$", "double")
-    )
-    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-    return F.coalesce(epoch_to_time(number), time_from_text(text), ingest_time)
+def time_from_json(value: Column, ingest_time: Column) -> Column:
+    kind, text = value["kind"], value["text"]
+    number = F.when(kind == "flag", _flag(text).cast("double")).when(kind == "number", text.try_cast("double"))
+    return F.coalesce(epoch_to_time(number), time_from_text(F.when(kind == "text", text)), ingest_time)
 
 
 def epoch_seconds(ts: Column) -> Column:
