@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ipaddress import IPv4Network, IPv6Network
+from ipaddress import IPv4Network, ip_network
 from itertools import chain
 
 from pyspark.sql import Column
@@ -100,13 +100,51 @@ PUBLIC_V6 = (
     "2001:30::/28",
 )
 
-_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_PATTERN = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_V4_TAIL = rf":{_OCTET}(\.{_OCTET}){{3}}$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+IPV4_PATTERN = rf"^{_QUAD}$"
 _GROUPS = r"[0-9a-f]{1,4}(:[0-9a-f]{1,4})*"
 _IPV6_SHAPE = rf"^({_GROUPS})?(::({_GROUPS})?)?$"
 
 
+def _dotted_pattern(blocks: tuple) -> str:
+    """Pattern for the leading part of dotted quads inside any of the blocks."""
+    options = []
+    for block in blocks:
+        net = IPv4Network(block)
+        whole, part = divmod(net.prefixlen, 8)
+        low, high = net.network_address.packed, net.broadcast_address.packed
+        pieces = [str(low[i]) for i in range(whole)]
+        if part:
+            pieces.append("(?:" + "|".join(str(v) for v in range(low[whole], high[whole] + 1)) + ")")
+        options.append(r"\.".join(pieces) + (r"\." if len(pieces) < 4 else "$"))
+    return "(?:" + "|".join(options) + ")"
+
+
+def _hex_pattern(blocks: tuple, lead: str = "") -> str:
+    """The same for addresses written as plain hex digits."""
+    options = []
+    for block in blocks:
+        net = ip_network(block)
+        digits = net.max_prefixlen // 4
+        low, high = (f"{int(a):0{digits}x}" for a in (net.network_address, net.broadcast_address))
+        whole, part = divmod(net.prefixlen, 4)
+        pattern = lead + low[:whole]
+        if part:
+            pattern += "[" + "".join(f"{v:x}" for v in range(int(low[whole], 16), int(high[whole], 16) + 1)) + "]"
+        options.append(pattern)
+    return "(?:" + "|".join(options) + ")"
+
+
+# Whole tests as one pattern each, so a plan holds a single reference to the address.
+_PRIVATE_DOTTED = rf"^(?!{_dotted_pattern(PUBLIC_V4)})(?={_dotted_pattern(PRIVATE_V4)}){_QUAD}$"
+_MAPPED = "0" * 20 + "ffff"
+_PRIVATE_HEX = (
+    f"^(?!{_hex_pattern(PUBLIC_V6)}|{_hex_pattern(PUBLIC_V4, _MAPPED)})"
+    f"(?:{_hex_pattern(PRIVATE_V6)}|{_hex_pattern(PRIVATE_V4, _MAPPED)})"
+)
+
+
 def _lookup(table: dict, key: Column) -> Column:
     literals = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items())
     return F.try_element_at(F.create_map(*literals), key)
@@ -163,51 +201,25 @@ def ipv4_number(ip: Column) -> Column:
 
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text to its 32 hex digits, null when it is not an address."""
-    text = F.lower(F.regexp_replace(ip, "%[^%]+$", ""))
-    tail = F.regexp_extract(text, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    tail_hex = F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0"))
-    dotted = F.regexp_replace(text, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$", "")
-    text = F.when(
-        text.rlike(_V4_TAIL), F.concat(dotted, F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))
-    ).otherwise(text)
-    halves = F.split(text, "::")
-    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    used = F.size(left) + F.size(right)
-    padded = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
-    sized = F.when(F.contains(text, F.lit("::")), used <= 7).otherwise(used == 8)
+    plain = F.lower(F.regexp_replace(ip, "%[^%]+$", ""))
+    # A dotted tail stands for the last two groups; it is put in place at the end.
+    text = F.regexp_replace(plain, rf"(?<=:){_QUAD}$", "0:0")
+    # Each group to four digits: zeros in front, then all but the last four dropped.
+    padded = F.regexp_replace(F.regexp_replace(text, "(?<![0-9a-f])([0-9a-f]{1,4})", "000$1"), "[0-9a-f]*([0-9a-f]{4})(?=:|$)", "$1")
+    absent = F.lit(32) - F.length(F.replace(padded, F.lit(":"), F.lit("")))
+    filled = F.replace(F.replace(padded, F.lit("::"), F.repeat(F.lit("0"), absent)), F.lit(":"), F.lit(""))
+    fits = F.when(F.contains(text, F.lit("::")), absent >= 4).otherwise(absent == 0)
+    base = F.when(F.contains(ip, F.lit(":")) & text.rlike(_IPV6_SHAPE) & fits, filled)
+    tail = F.hex(ipv4_number(F.regexp_extract(plain, rf":({_QUAD})$", 1)))
     return F.when(
-        F.contains(ip, F.lit(":")) & text.rlike(_IPV6_SHAPE) & sized,
-        F.concat(padded(left), F.repeat(F.lit("0"), (8 - used) * 4), padded(right)),
-    )
-
-
-def _in_v4(number: Column, blocks: tuple) -> Column:
-    hit = F.lit(False)
-    for block in blocks:
-        net = IPv4Network(block)
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-    return hit
-
-
-def _in_v6(digits: Column, blocks: tuple) -> Column:
-    hit = F.lit(False)
-    for block in blocks:
-        net = IPv6Network(block)
-        low, high = (f"{int(a):032x}" for a in (net.network_address, net.broadcast_address))
-        hit = hit | digits.between(low, high)
-    return hit
+        F.contains(plain, F.lit(".")), F.concat(F.substring(base, 1, 24), F.lower(F.lpad(tail, 8, "0")))
+    ).otherwise(base)
 
 
 def is_private_ip(ip: Column) -> Column:
     """True for private, documentation, loopback and reserved addresses; invalid text is false."""
-    number, digits = ipv4_number(ip), ipv6_hex(ip)
-    private_v4 = lambda n: _in_v4(n, PRIVATE_V4) & ~_in_v4(n, PUBLIC_V4)
-    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    private_v6 = F.when(digits.startswith("0" * 20 + "ffff"), private_v4(mapped)).otherwise(
-        _in_v6(digits, PRIVATE_V6) & ~_in_v6(digits, PUBLIC_V6)
-    )
-    return F.coalesce(F.when(F.contains(ip, F.lit(":")), private_v6).otherwise(private_v4(number)), F.lit(False))
+    private = F.when(F.contains(ip, F.lit(":")), ipv6_hex(ip).rlike(_PRIVATE_HEX)).otherwise(ip.rlike(_PRIVATE_DOTTED))
+    return F.coalesce(private, F.lit(False))
 
 
 def stable_hash(text: Column) -> Column:
@@ -225,11 +237,11 @@ def ip_number(ip: Column) -> Column:
     chunk = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("double")
     wide = ((chunk(1) * 2.0**32 + chunk(9)) * 2.0**32 + chunk(17)) * 2.0**32 + chunk(25)
     text = F.coalesce(ip, F.lit(""))
+    hashed = hashed_category(text, 2**31).cast("double")
     return (
         F.when(text == "", F.lit(0.0))
-        .when(text.rlike(IPV4_PATTERN), ipv4_number(ip).cast("double"))
-        .when(digits.isNotNull(), wide)
-        .otherwise(hashed_category(text, 2**31).cast("double"))
+        .when(F.contains(text, F.lit(":")), F.coalesce(wide, hashed))
+        .otherwise(F.coalesce(ipv4_number(ip).cast("double"), hashed))
     )
 
 

@@ -16,6 +16,7 @@ _DECIMAL_INT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _HEX_INT = r"^0[xX](_?[0-9a-fA-F]+)+$"
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 _FLOAT = rf"^[+-]?(({_DIGITS})\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+_PLAIN_FLOAT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf(inity)?)$"
 _NAN = r"(?i)^[+-]?nan$"
 _INF = r"(?i)^[+-]?inf(inity)?$"
 
@@ -73,8 +74,12 @@ def float_or(c: Column, fallback: Column) -> Column:
 
 
 def numeric_or_null(c: Column) -> Column:
-    """Text column to double; anything unparseable becomes null."""
-    return strip(c.cast("string")).try_cast("double")
+    """Text column to double; anything unparseable becomes null.
+
+    The pattern keeps dirty cells away from the cast, where each would cost an exception.
+    """
+    text = strip(c.cast("string"))
+    return F.when(text.rlike(_PLAIN_FLOAT), text.try_cast("double"))
 
 
 def numeric_or_zero(c: Column) -> Column:
@@ -118,7 +123,9 @@ def _flag(text: Column) -> Column:
 
 
 def _number_as_int(text: Column) -> Column:
-    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+    return F.when(text.rlike("^-?[0-9]{1,18}$"), text.try_cast("bigint")).otherwise(
+        text.try_cast("double").try_cast("bigint")
+    )
 
 
 def int_from_json(value: Column) -> Column:
