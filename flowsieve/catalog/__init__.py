@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "serving", "prep", "features", "models")
+MODULES = ("scalars", "serving", "prep", "features", "models", "streams")
 
 
 def load():

@@ -22,132 +22,92 @@ def _pick(key, values, default):
 
 
 def flow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat flow rows: id, timestamp, ts_us, src_ip, dst_ip, proto (as sent), bytes, dst_port, service, k."""
-    e = table(spark, sf_dir, "events")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    raw = e.select(
-        F.col("event_id").alias("id"),
-        us.alias("us"),
+    """Flat flow rows: id, timestamp, ts_us, src_ip, dst_ip, proto (as sent), bytes, dst_port, service, k, user_id.
+
+    Time runs 100 times faster than in the events, so that bursts occur.
+    """
+    raw = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        f"{ORIGIN_US} + CAST(floor((unix_micros(CAST(ts AS TIMESTAMP)) - {ORIGIN_US}) / 100) AS BIGINT) AS ts_us",
         "user_id",
         "event_type",
         "value",
-        F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"),
-    )
-    host = (F.col("user_id") % 10 + 1).cast("string")
-    ts_us = F.lit(ORIGIN_US) + F.floor((F.col("us") - F.lit(ORIGIN_US)) / F.lit(100)).cast("bigint")
-    src = _pick(
-        F.col("user_id") % 6,
-        {
-            0: F.concat(F.lit("192.168.1."), host),
-            1: F.concat(F.lit("10.0.0."), host),
-            2: F.concat(F.lit("8.8.4."), host),
-            3: F.concat(F.lit("203.0.113."), host),
-            4: F.concat(F.lit("host-"), (F.col("user_id") % 10).cast("string")),
-        },
-        F.lit(""),
-    )
-    dst = _pick(
-        F.col("id") % 4,
-        {0: F.lit("1.1.1.1"), 1: F.lit("192.168.1.50"), 2: F.lit("172.16.8.4")},
-        F.lit("9.9.9.9"),
-    )
-    proto = _pick(
-        F.col("event_type"),
-        {"click": F.lit("6"), "view": F.lit(" tcp "), "purchase": F.lit("17"), "error": F.lit("58")},
-        F.lit("99"),
-    )
-    port = _pick(
-        F.col("k") % 10,
-        {0: F.lit(443), 1: F.lit(53), 2: F.lit(22), 3: F.lit(8443), 4: F.lit(3306), 5: F.lit(0)},
-        F.lit(1000) + F.col("k") * 17,
-    )
-    service = _pick(
-        F.col("k") % 7, {0: F.lit("portscan"), 1: F.lit("http"), 2: F.lit("dns")}, F.lit(None).cast("string")
+        "CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k",
     )
-    return raw.select(
+    return raw.selectExpr(
         "id",
-        F.timestamp_micros(ts_us).alias("timestamp"),
-        ts_us.alias("ts_us"),
-        src.alias("src_ip"),
-        dst.alias("dst_ip"),
-        proto.alias("proto"),
-        F.floor(F.col("value") * 200).cast("bigint").alias("bytes"),
-        port.cast("bigint").alias("dst_port"),
-        service.alias("service"),
+        "timestamp_micros(ts_us) AS timestamp",
+        "ts_us",
+        """CASE user_id % 6
+             WHEN 0 THEN concat('192.168.1.', user_id % 10 + 1) WHEN 1 THEN concat('10.0.0.', user_id % 10 + 1)
+             WHEN 2 THEN concat('8.8.4.', user_id % 10 + 1) WHEN 3 THEN concat('203.0.113.', user_id % 10 + 1)
+             WHEN 4 THEN concat('host-', user_id % 10) ELSE '' END AS src_ip""",
+        "CASE id % 4 WHEN 0 THEN '1.1.1.1' WHEN 1 THEN '192.168.1.50' WHEN 2 THEN '172.16.8.4' ELSE '9.9.9.9' END AS dst_ip",
+        """CASE event_type WHEN 'click' THEN '6' WHEN 'view' THEN ' tcp ' WHEN 'purchase' THEN '17'
+             WHEN 'error' THEN '58' ELSE '99' END AS proto""",
+        "CAST(floor(value * 200) AS BIGINT) AS bytes",
+        """CAST(CASE k % 10 WHEN 0 THEN 443 WHEN 1 THEN 53 WHEN 2 THEN 22 WHEN 3 THEN 8443 WHEN 4 THEN 3306
+             WHEN 5 THEN 0 ELSE 1000 + k * 17 END AS BIGINT) AS dst_port""",
+        "CASE k % 7 WHEN 0 THEN 'portscan' WHEN 1 THEN 'http' WHEN 2 THEN 'dns' END AS service",
         "k",
         "user_id",
     )
 
 
+_GIVEN = {
+    "src_port": "k * 31 + 5",
+    "dst_port": "dst_port",
+    "src_bytes": "CASE WHEN id % 5 = 0 THEN bytes - 50 END",
+    "dst_bytes": "CASE WHEN id % 10 = 0 THEN k * 10 END",
+    "src_pkts": "CASE WHEN id % 7 = 0 THEN k - 20 END",
+    "dst_pkts": "CASE WHEN id % 9 = 0 THEN k END",
+    "dns_qclass": "CASE WHEN id % 6 = 1 THEN 1 END",
+    "dns_qtype": "CASE WHEN id % 6 = 1 THEN 28 END",
+    "dns_rcode": "CASE WHEN id % 12 = 1 THEN 3 END",
+    "http_status_code": "CASE WHEN id % 8 = 3 THEN 200 + k END",
+    "http_request_body_len": "CASE WHEN id % 8 = 2 THEN k * 3 END",
+    "http_response_body_len": "CASE WHEN id % 8 = 3 THEN k * 7 END",
+    "duration": "CASE WHEN id % 3 = 0 THEN k / 64D - 0.25D END",
+    "dns_query": "CASE WHEN id % 6 = 1 THEN concat('host', k, '.example.com') END",
+    "http_method": "CASE WHEN id % 8 = 2 THEN 'get' END",
+    "http_uri": "CASE WHEN id % 8 = 2 THEN concat('/item/', k) END",
+    "http_referrer": "CASE WHEN id % 16 = 2 THEN 'http://example.org/' END",
+    "http_version": "CASE WHEN id % 8 = 2 THEN '1.1' END",
+    "http_user_agent": "CASE WHEN id % 8 = 2 THEN concat('agent/', id % 9) END",
+    "http_orig_mime_types": "CASE WHEN id % 24 = 2 THEN 'text/plain' END",
+    "http_resp_mime_types": "CASE WHEN id % 8 = 3 THEN 'text/html' END",
+    "weird_name": "CASE WHEN id % 50 = 0 THEN 'bad_checksum' END",
+    "weird_addl": "CASE WHEN id % 50 = 0 THEN 'len' END",
+    "weird_notice": "CASE WHEN id % 50 = 0 THEN 'F' END",
+    "ssl_cipher": "CASE WHEN id % 11 = 4 THEN 'TLS_AES_128_GCM_SHA256' END",
+    "service": "service",
+    "ssl_version": "CASE WHEN id % 11 = 4 THEN 771 END",
+    "attack_type": "CASE WHEN id % 40 = 7 THEN 'injection' END",
+}
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the nested attribute struct filled where the source row suggests a value."""
-    f = flow_columns(spark, sf_dir)
-    every = lambda n, rest, value: F.when(F.col("id") % n == rest, value)
-    given = {
-        "src_port": F.col("k") * 31 + 5,
-        "dst_port": F.col("dst_port"),
-        "src_bytes": every(5, 0, F.col("bytes") - 50),
-        "dst_bytes": every(10, 0, F.col("k") * 10),
-        "src_pkts": every(7, 0, F.col("k") - 20),
-        "dst_pkts": every(9, 0, F.col("k")),
-        "dns_qclass": every(6, 1, F.lit(1)),
-        "dns_qtype": every(6, 1, F.lit(28)),
-        "dns_rcode": every(12, 1, F.lit(3)),
-        "http_status_code": every(8, 3, F.lit(200) + F.col("k")),
-        "http_request_body_len": every(8, 2, F.col("k") * 3),
-        "http_response_body_len": every(8, 3, F.col("k") * 7),
-        "duration": every(3, 0, F.col("k") / F.lit(64.0) - F.lit(0.25)),
-        "dns_query": every(6, 1, F.concat(F.lit("host"), F.col("k").cast("string"), F.lit(".example.com"))),
-        "http_method": every(8, 2, F.lit("get")),
-        "http_uri": every(8, 2, F.concat(F.lit("/item/"), F.col("k").cast("string"))),
-        "http_referrer": every(16, 2, F.lit("http://example.org/")),
-        "http_version": every(8, 2, F.lit("1.1")),
-        "http_user_agent": every(8, 2, F.concat(F.lit("agent/"), (F.col("id") % 9).cast("string"))),
-        "http_orig_mime_types": every(24, 2, F.lit("text/plain")),
-        "http_resp_mime_types": every(8, 3, F.lit("text/html")),
-        "weird_name": every(50, 0, F.lit("bad_checksum")),
-        "weird_addl": every(50, 0, F.lit("len")),
-        "weird_notice": every(50, 0, F.lit("F")),
-        "ssl_cipher": every(11, 4, F.lit("TLS_AES_128_GCM_SHA256")),
-        "service": F.col("service"),
-        "ssl_version": every(11, 4, F.lit(771)),
-        "attack_type": every(40, 7, F.lit("injection")),
-    }
-    extra = F.struct(
-        *[given.get(x.name, F.lit(None)).cast(x.dataType).alias(x.name) for x in EXTRA.fields]
+    fields = ", ".join(
+        f"'{x.name}', CAST({_GIVEN.get(x.name, 'NULL')} AS {x.dataType.simpleString()})" for x in EXTRA.fields
+    )
+    return flow_columns(spark, sf_dir).selectExpr(
+        "id", "timestamp", "ts_us", "src_ip", "dst_ip", "proto", "bytes", f"named_struct({fields}) AS extra"
     )
-    return f.select("id", "timestamp", "ts_us", "src_ip", "dst_ip", "proto", "bytes", extra.alias("extra"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with gaps, null scores and labels, and a second row for some flows."""
-    f = flow_columns(spark, sf_dir).where("id % 10 <> 9")
-    score = F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.least(F.lit(1.0), F.col("bytes") / F.lit(40000.0)))
-    label = _pick(
-        F.col("id") % 8,
-        {
-            0: F.lit("normal"),
-            1: F.lit("watch"),
-            2: F.lit("anomaly"),
-            3: F.lit("ddos"),
-            4: F.lit("Scanning"),
-            5: F.lit(None).cast("string"),
-        },
-        F.lit("normal"),
-    )
-    base = f.select(
+    base = flow_columns(spark, sf_dir).where("id % 10 <> 9").selectExpr(
         "id",
-        F.col("id").alias("flow_id"),
-        score.cast("double").alias("score"),
-        label.alias("label"),
-        F.col("timestamp").alias("created_at"),
+        "id AS flow_id",
+        "CASE WHEN id % 11 = 0 THEN NULL ELSE least(1D, bytes / 40000D) END AS score",
+        """CASE id % 8 WHEN 0 THEN 'normal' WHEN 1 THEN 'watch' WHEN 2 THEN 'anomaly' WHEN 3 THEN 'ddos'
+             WHEN 4 THEN 'Scanning' WHEN 5 THEN NULL ELSE 'normal' END AS label""",
+        "timestamp AS created_at",
     )
-    later = base.where("id % 13 = 0").select(
-        (F.col("id") + 100_000_000).alias("id"),
-        "flow_id",
-        (F.col("score") / 2).alias("score"),
-        F.lit("dos").alias("label"),
-        (F.col("created_at") + F.make_dt_interval(secs=F.lit(1))).alias("created_at"),
+    later = base.where("id % 13 = 0").selectExpr(
+        "id + 100000000 AS id", "flow_id", "score / 2 AS score", "'dos' AS label", "created_at + INTERVAL 1 SECOND AS created_at"
     )
     return base.unionByName(later)
 

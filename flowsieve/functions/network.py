@@ -216,9 +216,13 @@ def ipv6_hex(ip: Column) -> Column:
     ).otherwise(base)
 
 
-def is_private_ip(ip: Column) -> Column:
-    """True for private, documentation, loopback and reserved addresses; invalid text is false."""
-    private = F.when(F.contains(ip, F.lit(":")), ipv6_hex(ip).rlike(_PRIVATE_HEX)).otherwise(ip.rlike(_PRIVATE_DOTTED))
+def is_private_ip(ip: Column, digits: Column | None = None) -> Column:
+    """True for private, documentation, loopback and reserved addresses; invalid text is false.
+
+    `digits` is ipv6_hex(ip) where a plan already has it as a column.
+    """
+    digits = ipv6_hex(ip) if digits is None else digits
+    private = F.when(F.contains(ip, F.lit(":")), digits.rlike(_PRIVATE_HEX)).otherwise(ip.rlike(_PRIVATE_DOTTED))
     return F.coalesce(private, F.lit(False))
 
 
@@ -231,11 +235,11 @@ def hashed_category(text: Column, modulus: int) -> Column:
     return stable_hash(text) % F.lit(modulus).cast("bigint")
 
 
-def ip_number(ip: Column) -> Column:
+def ip_number(ip: Column, digits: Column | None = None) -> Column:
     """Address as a double: IPv4, IPv6, a hash for other text, 0 for none."""
-    digits = ipv6_hex(ip)
-    chunk = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("double")
-    wide = ((chunk(1) * 2.0**32 + chunk(9)) * 2.0**32 + chunk(17)) * 2.0**32 + chunk(25)
+    digits = ipv6_hex(ip) if digits is None else digits
+    half = lambda at: F.conv(F.substring(digits, at, 16), 16, 10).cast("double")
+    wide = half(1) * 2.0**64 + half(17)
     text = F.coalesce(ip, F.lit(""))
     hashed = hashed_category(text, 2**31).cast("double")
     return (

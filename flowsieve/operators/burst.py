@@ -83,16 +83,22 @@ def with_burst(
     mode: str = RETROACTIVE,
     window_seconds: int = BURST_WINDOW_SECONDS,
     block_seconds: int = 10,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Adds burst_count (the flow itself not counted) and burst_score.
 
+    Stored flows given as `history` are counted but not returned.
+
     `retroactive` counts all later flows of the source too, as a lookup over the
     stored table does; `trailing` stops at the flow's own time.
     """
     if mode not in (RETROACTIVE, TRAILING):
         raise ValueError(f"unknown burst mode {mode!r}")
     seen = "seen_from" if mode == RETROACTIVE else "seen_until"
-    points = burst_points(flows, window_seconds, block_seconds).select(
+    counted = flows.select("src_ip", "timestamp")
+    if history is not None:
+        counted = counted.unionByName(history.select("src_ip", "timestamp"))
+    points = burst_points(counted, window_seconds, block_seconds).select(
         F.col("src_ip").alias("_src"), F.col("ts_us").alias("_us"), F.col(seen).alias("_seen")
     )
     keyed = flows.withColumn("_key_us", F.unix_micros("timestamp"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowsieve.models import detector, ensemble
 from flowsieve.plans.scoring import score_heuristic, with_attack_type
 
-Scorer = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
 def _exists(spark: SparkSession, path: str | None) -> bool:
@@ -26,25 +26,27 @@ def choose_scorer(
 ) -> tuple[str, Scorer]:
     """(mode, scorer): the ensemble if saved, else the detector if saved, else the heuristic.
 
-    Decided once per run or micro-batch. A scorer adds score, label and, for the
+    Decided once per run or micro-batch. A scorer takes flows and, for the burst
+    counts of the heuristic, stored flows; it adds score, label and, for the
     ensemble, attack_label.
     """
     if _exists(spark, ensemble_path):
         members = [m for m in ("booster", "forest") if _exists(spark, f"{ensemble_path}/{m}")]
         models = {m: PipelineModel.load(f"{ensemble_path}/{m}") for m in members}
 
-        def by_ensemble(flows: DataFrame) -> DataFrame:
+        def by_ensemble(flows: DataFrame, history: DataFrame | None = None) -> DataFrame:
             return flows.join(ensemble.score_flows(flows, models), "id")
 
         return "ensemble", by_ensemble
     if _exists(spark, detector_path):
-        return "detector", detector.load_detector(spark, detector_path).score_flows
-    return "heuristic", lambda flows: score_heuristic(flows, burst_mode)
+        loaded = detector.load_detector(spark, detector_path)
+        return "detector", lambda flows, history=None: loaded.score_flows(flows)
+    return "heuristic", lambda flows, history=None: score_heuristic(flows, burst_mode, history)
 
 
 def record_id(*parts: Column) -> Column:
     """A repeatable id of a record, so redelivery yields the same id."""
-    return F.xxhash64(*parts) & F.lit((1 << 63) - 1)
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def prediction_rows(scored: DataFrame, now: Column) -> DataFrame:

@@ -9,12 +9,12 @@ from flowsieve.functions import network, scores
 from flowsieve.operators.burst import RETROACTIVE, with_burst
 
 
-def score_heuristic(flows: DataFrame, mode: str = RETROACTIVE) -> DataFrame:
+def score_heuristic(flows: DataFrame, mode: str = RETROACTIVE, history: DataFrame | None = None) -> DataFrame:
     """Adds score and label to stored flows (proto already normalised).
 
     The address tests are separate columns so each is computed once per row.
     """
-    ready = with_burst(flows, mode)
+    ready = with_burst(flows, mode, history=history)
     ready = ready.withColumn("_sp", network.is_private_ip(F.col("src_ip"))).withColumn(
         "_dp", network.is_private_ip(F.col("dst_ip"))
     )

@@ -11,6 +11,21 @@ from flowsieve.functions.text import clean_text, epoch_to_time, float_or, int_fr
 from flowsieve.schema import EXTRA, PACKET_FIELDS
 
 
+_NUMERIC = (
+    "frame_len",
+    "tcp_srcport",
+    "tcp_dstport",
+    "udp_srcport",
+    "udp_dstport",
+    "dns_qry_type",
+    "dns_qry_class",
+    "dns_flags_rcode",
+    "http_response_code",
+    "http_content_length",
+    "ssl_handshake_version",
+)
+
+
 def packet_fields(lines: DataFrame, column: str = "value") -> DataFrame:
     """One text column per packet field; blank lines dropped, short rows padded, long rows cut.
 
@@ -18,10 +33,10 @@ def packet_fields(lines: DataFrame, column: str = "value") -> DataFrame:
     Columns other than the line itself are kept.
     """
     rest = [c for c in lines.columns if c != column]
-    parts = F.split(F.col("_line"), "\t")
     trimmed = lines.select(*rest, strip(F.col(column)).alias("_line")).where("_line <> ''")
-    return trimmed.select(
-        *rest, *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(PACKET_FIELDS)]
+    cells = trimmed.select(*rest, F.split("_line", "\t").alias("_cells"))
+    return cells.select(
+        *rest, *[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(PACKET_FIELDS)]
     )
 
 
@@ -31,9 +46,12 @@ def ip_packets(packets: DataFrame) -> DataFrame:
 
 def packet_flows(packets: DataFrame, arrival: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """One flow record per packet: timestamp, endpoints, protocol, bytes and the attribute struct."""
-    number = lambda name: int_from_packet_text(F.col(name))
+    # One rule over an array of the numeric fields keeps the plan small.
+    texts = F.array(*[F.col(name) for name in _NUMERIC])
+    numbered = packets.withColumn("_n", F.transform(texts, lambda t: F.when(t != "", int_from_packet_text(t))))
+    number = lambda name: F.get("_n", F.lit(_NUMERIC.index(name)))
     words = lambda name: clean_text(F.col(name))
-    first = packets.select(
+    first = numbered.select(
         *keep,
         float_or(F.col("frame_time_epoch"), F.unix_micros(arrival) / F.lit(1e6)).alias("epoch"),
         F.col("ip_src").alias("src_ip"),
