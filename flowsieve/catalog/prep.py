@@ -11,7 +11,7 @@ from flowsieve.catalog.serving import stored_flows
 from flowsieve.operators import ordered, rollup, sampling
 from flowsieve.operators.evaluation import threshold_metrics
 from flowsieve.schema import HOURLY_FEATURES, SERIES_FEATURES
-from flowsieve.session import scratch_path
+from flowsieve.session import pinned, scratch_path
 from flowsieve.sources import flow_json, packets, series, tables
 
 _LOG = """log AS (
@@ -131,7 +131,7 @@ pk AS (SELECT *, id % 3 = 0 AS tcp, id % 3 = 1 AS udp, id % 3 = 1 AND dst_port =
     ),
 )
 def packet_flows(spark, sf):
-    parsed = packets.ip_packets(packets.packet_fields(fixtures.packet_lines(spark, sf)))
+    parsed = packets.ip_packets(packets.packet_fields(pinned(fixtures.packet_lines(spark, sf))))
     f = packets.packet_flows(parsed, F.timestamp_micros(F.lit(fixtures.ORIGIN_US)), keep=("id",))
     x = lambda n, name=None: F.col(f"extra.{n}").alias(name or n)
     return f.select(
@@ -172,7 +172,7 @@ js AS (SELECT *, id % 6 AS kind, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS copie
     ),
 )
 def json_flows(spark, sf):
-    records = flow_json.payload_records(fixtures.json_payloads(spark, sf))
+    records = flow_json.payload_records(pinned(fixtures.json_payloads(spark, sf)))
     f = flow_json.usable(
         flow_json.parsed_flows(records, F.timestamp_micros(F.lit(fixtures.ORIGIN_US)), keep=("id", "pos"))
     )
@@ -192,7 +192,7 @@ def json_flows(spark, sf):
     ),
 )
 def json_rejects(spark, sf):
-    p = fixtures.json_payloads(spark, sf)
+    p = pinned(fixtures.json_payloads(spark, sf))
     records = flow_json.rejected(flow_json.parsed_flows(flow_json.payload_records(p), F.timestamp_micros(F.lit(0))))
     bad_records = records.groupBy(F.col("rejected").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     return flow_json.rejected_payloads(p).select(F.lit("payload").alias("reason")).groupBy("reason").agg(

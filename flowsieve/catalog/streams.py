@@ -11,7 +11,7 @@ from flowsieve.catalog.base import PREDICTIONS, fixed, register, with_ctes
 from flowsieve.catalog.prep import _PACKETS, _ROLLUP
 from flowsieve.schema import PREDICTIONS as PREDICTION_SCHEMA
 from flowsieve.schema import TRAFFIC_LOG
-from flowsieve.session import scratch_path
+from flowsieve.session import pinned, scratch_path
 from flowsieve.sources.store import FlowStore
 from flowsieve.streaming.ingest import process_batch, recent_history, start_ingest
 from flowsieve.streaming.rollup import first_predictions_within, streaming_minutes
@@ -80,7 +80,7 @@ def burst_with_history(spark, sf):
     from flowsieve.operators.burst import TRAILING, with_burst
     from flowsieve.sources import packets
 
-    parsed = packets.ip_packets(packets.packet_fields(fixtures.packet_lines(spark, sf)))
+    parsed = packets.ip_packets(packets.packet_fields(pinned(fixtures.packet_lines(spark, sf))))
     f = packets.packet_flows(parsed, F.lit(NOW), keep=("id",)).where("src_ip <> '8.8.4.3'")
     store = FlowStore(spark, scratch_path(spark, "history"))
     store.write_flows(f.where("id % 2 = 1"), 0)

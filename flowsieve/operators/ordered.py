@@ -18,6 +18,8 @@ RANGES = 128
 def _range_index(df: DataFrame, order_col: str, ranges: int) -> DataFrame:
     marks = df.approxQuantile(order_col, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     inner = sorted(set(m for m in marks if m not in (float("inf"), float("-inf"))))
+    if not inner:
+        return df.withColumn("_range", F.lit(0.0))
     splits = [float("-inf"), *inner, float("inf")]
     return Bucketizer(splits=splits, inputCol=order_col, outputCol="_range", handleInvalid="keep").transform(df)
 
