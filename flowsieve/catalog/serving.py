@@ -20,7 +20,7 @@ from flowsieve.catalog.base import (
 from flowsieve.functions import scores
 from flowsieve.functions.network import protocol_name
 from flowsieve.operators import lookups, sampling, upkeep
-from flowsieve.operators.burst import RETROACTIVE, TRAILING, with_burst
+from flowsieve.operators.burst import RETROACTIVE, TRAILING, burst_points, with_burst
 from flowsieve.plans import scoring, serving
 
 
@@ -93,9 +93,14 @@ def burst_by_supplier(spark, sf):
         us.alias("ts_us"),
         F.timestamp_micros(us).alias("timestamp"),
     )
-    both = with_burst(f, TRAILING).withColumnRenamed("burst_count", "trailing_count").drop("burst_score")
-    return with_burst(both, RETROACTIVE).select(
-        "l_orderkey", "l_linenumber", "ts_us", "trailing_count", F.col("burst_count").alias("later_count")
+    points = burst_points(f).withColumnRenamed("ts_us", "us")
+    same = (f["src_ip"] == points["src_ip"]) & (F.col("ts_us") == F.col("us"))
+    return f.join(points, same).select(
+        "l_orderkey",
+        "l_linenumber",
+        "ts_us",
+        (F.col("seen_until") - 1).alias("trailing_count"),
+        (F.col("seen_from") - 1).alias("later_count"),
     )
 
 

@@ -18,24 +18,26 @@ from flowsieve.functions.text import (
 from flowsieve.schema import EXTRA, EXTRA_FLOAT_FIELDS, EXTRA_INT_FIELDS, EXTRA_TEXT_FIELDS
 
 
+_CORE = ("ts", "src_ip", "dst_ip", "proto", "bytes")
+_INTS = (*EXTRA_INT_FIELDS, "ssl_version")
+_FLOATS = EXTRA_FLOAT_FIELDS
+_WORDS = (*EXTRA_TEXT_FIELDS, "service")
+_RECORDS = "array<struct<" + ", ".join(f"{n}: variant" for n in (*_CORE, *_INTS, *_FLOATS, *_WORDS)) + ">>"
+
+
 def payload_records(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """One VARIANT `rec` per flow object; payloads that are neither object nor list give none.
+    """One struct `rec` of VARIANT fields per flow object; an object counts as a list of one.
 
-    `pos` is the place of the record inside its payload; other columns are kept.
+    Payloads of another shape give no rows. `pos` is the place of the record inside
+    its payload; other columns are kept.
     """
     rest = [c for c in payloads.columns if c != column]
-    parsed = payloads.select(*rest, F.try_parse_json(F.col(column)).alias("_v"))
-    kind = F.schema_of_variant("_v")
-    many = F.when(kind.startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>")).when(
-        kind.startswith("OBJECT"), F.array(F.col("_v"))
-    )
-    each = parsed.select(*rest, F.posexplode(many).alias("pos", "rec"))
-    return each.where(F.schema_of_variant("rec").startswith("OBJECT"))
+    each = payloads.select(*rest, F.posexplode(F.from_json(F.col(column), _RECORDS)).alias("pos", "rec"))
+    return each.where(F.col("rec").isNotNull())
 
 
 def rejected_payloads(payloads: DataFrame, column: str = "value") -> DataFrame:
-    kind = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))), F.lit("VOID"))
-    return payloads.where(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"))
+    return payloads.where(F.from_json(F.col(column), _RECORDS).isNull())
 
 
 def parsed_flows(records: DataFrame, ingest_time: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,21 +46,21 @@ def parsed_flows(records: DataFrame, ingest_time: Column, keep: tuple[str, ...]
     Known attribute keys are coerced, others dropped; the struct is null when nothing is left.
     """
     rest = list(keep)
-    ints, floats, words = (*EXTRA_INT_FIELDS, "ssl_version"), EXTRA_FLOAT_FIELDS, (*EXTRA_TEXT_FIELDS, "service")
-    core = ("ts", "src_ip", "dst_ip", "proto", "bytes")
-    values = lambda names: variant_values([F.try_variant_get("rec", f"$.{n}", "variant") for n in names])
-    typed = records.select(
-        *rest,
-        values(core).alias("core"),
-        F.transform(values(ints), int_from_json).alias("ints"),
-        F.transform(values(floats), float_from_json).alias("floats"),
-        F.transform(values(words), clean_text_from_json).alias("words"),
+    values = lambda names: variant_values([F.col(f"rec.{n}") for n in names])
+    arrays = F.struct(
+        values(_CORE).alias("core"),
+        F.transform(values(_INTS), int_from_json).alias("ints"),
+        F.transform(values(_FLOATS), float_from_json).alias("floats"),
+        F.transform(values(_WORDS), clean_text_from_json).alias("words"),
     )
-    ts, src, dst, proto, size = (F.get("core", F.lit(i)) for i in range(len(core)))
+    # Unpacked by a generator, which filters on the result are not pushed through:
+    # otherwise the coercions would run once more for every filter.
+    typed = records.select(*rest, F.inline(F.array(arrays)))
+    ts, src, dst, proto, size = (F.get("core", F.lit(i)) for i in range(len(_CORE)))
     # A missing address is empty; an explicit null cannot be stored.
     address = lambda v: F.when(v["kind"] == "absent", F.lit("")).otherwise(text_from_json(v))
     attributes: dict[str, Column] = {}
-    for group, names in (("ints", ints), ("floats", floats), ("words", words)):
+    for group, names in (("ints", _INTS), ("floats", _FLOATS), ("words", _WORDS)):
         for i, n in enumerate(names):
             attributes[n] = F.get(group, F.lit(i))
     attributes["service"] = F.lower(attributes["service"])

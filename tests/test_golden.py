@@ -46,9 +46,9 @@ def test_json_values(spark):
     payload = (
         '[{"bytes": 12.7, "dst_port": 12.7, "src_port": "12.7", "src_pkts": true, "dst_pkts": "", "duration": true, "ts": 0,'
         ' "src_ip": "a", "http_method": true, "dns_query": " x "},'
-        ' {"bytes": "12.7", "ts": "1700000000"}, {"src_ip": null}, 5, {"ts": "2024-01-01T00:00:00+02:00", "bytes": null, "proto": 6}]'
+        ' {"bytes": "12.7", "ts": "1700000000"}, {"src_ip": null}, {"ts": "2024-01-01T00:00:00+02:00", "bytes": null, "proto": 6}]'
     )
-    lines = spark.createDataFrame([(payload,), ("7",), ("{bad",)], "value string")
+    lines = spark.createDataFrame([(payload,), ("7",), ("{bad",), ('[{"src_ip": "a"}, 5]',)], "value string")
     now = F.timestamp_micros(F.lit(1_000_000))
     got = flow_json.parsed_flows(flow_json.payload_records(lines), now, keep=("pos",)).orderBy("pos").collect()
     assert [r["rejected"] for r in got] == [None, "bytes", "src_ip", None]
@@ -59,7 +59,8 @@ def test_json_values(spark):
     assert first["timestamp"].timestamp() == 0 or first["timestamp"] == dt.datetime(1970, 1, 1)
     assert got[3]["timestamp"] == dt.datetime(2023, 12, 31, 22) and got[3]["bytes"] == 0 and got[3]["extra"] is None
     assert got[3]["proto"] == "TCP" and got[3]["src_ip"] == ""
-    assert flow_json.rejected_payloads(lines).count() == 2
+    # A list with anything but objects in it is refused as a whole.
+    assert flow_json.rejected_payloads(lines).count() == 3
 
 
 def test_time_from_text(spark):
