@@ -253,12 +253,9 @@ def ip_number(ip: Column, digits: Column | None = None) -> Column:
 
 
 def direction_of(src_private: Column, dst_private: Column) -> Column:
-    return (
-        F.when(src_private & ~dst_private, F.lit("outbound"))
-        .when(~src_private & dst_private, F.lit("inbound"))
-        .when(src_private & dst_private, F.lit("internal"))
-        .otherwise(F.lit("external"))
-    )
+    # An array lookup names each test once, however large its expression is.
+    names = F.array(*[F.lit(n) for n in ("external", "inbound", "outbound", "internal")])
+    return F.get(names, src_private.cast("int") * 2 + dst_private.cast("int"))
 
 
 def direction_tag(src_ip: Column, dst_ip: Column) -> Column:

@@ -22,6 +22,7 @@ PROTOCOL_BONUS = {"ICMP": 0.08, "UDP": 0.05, "SCTP": 0.04, "GRE": 0.03}
 OUTBOUND_BONUS = 0.07
 INBOUND_BONUS = 0.05
 EXTERNAL_BONUS = 0.03
+INTERNAL_BONUS = 0.0
 HEURISTIC_ANOMALY = 0.85
 HEURISTIC_WATCH = 0.65
 # Fixed values of the traffic estimates.
@@ -48,12 +49,9 @@ def burst_score(count: Column) -> Column:
 
 def direction_bonus(src_ip: Column, dst_ip: Column, src_private: Column, dst_private: Column) -> Column:
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    return (
-        F.when(blank(src_ip) | blank(dst_ip), F.lit(0.0))
-        .when(src_private & ~dst_private, F.lit(OUTBOUND_BONUS))
-        .when(~src_private & dst_private, F.lit(INBOUND_BONUS))
-        .when(~src_private & ~dst_private, F.lit(EXTERNAL_BONUS))
-        .otherwise(F.lit(0.0))
+    bonus = F.array(*[F.lit(b) for b in (EXTERNAL_BONUS, INBOUND_BONUS, OUTBOUND_BONUS, INTERNAL_BONUS)])
+    return F.when(blank(src_ip) | blank(dst_ip), F.lit(0.0)).otherwise(
+        F.get(bonus, src_private.cast("int") * 2 + dst_private.cast("int"))
     )
 
 

@@ -7,11 +7,13 @@ reference sample of the size the method asks for, or a weight vector.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from flowsieve.operators.ordered import exact_quantile
 from flowsieve.operators.sampling import exact_sample
 from flowsieve.session import pinned
 
+# Executors need not have this package installed: functions sent to them carry their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATIONS = (0.01, 0.015, 0.02, 0.03)
@@ -224,7 +229,7 @@ def fit_local_outlier_factor(
 ) -> LocalOutlierFactor:
     """Fit on a training sample of the method's size; a larger table has to be sampled by the caller first."""
     spark = train.sparkSession
-    if len(train.limit(REFERENCE_ROWS + 1).select(key).collect()) > REFERENCE_ROWS:
+    if train.limit(REFERENCE_ROWS + 1).count() > REFERENCE_ROWS:
         raise ValueError(f"fit on a sample of at most {REFERENCE_ROWS} rows")
     local = train.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).toPandas().sort_values(key)
     ref = local[columns].to_numpy()

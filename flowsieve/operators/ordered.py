@@ -77,11 +77,19 @@ def mark_above_quantile(df: DataFrame, column: str, q: float = 0.99, name: str =
     return df.withColumn(name, F.when(F.col(column) > cut, F.lit(1)).otherwise(F.lit(0)))
 
 
-def hash_rank(df: DataFrame, key: Column, seed: int, partition: list[str] | None = None, slices: int = 4096) -> DataFrame:
+def hash_rank(
+    df: DataFrame,
+    key: Column,
+    seed: int,
+    partition: list[str] | None = None,
+    size_name: str | None = None,
+    slices: int = 1 << 16,
+) -> DataFrame:
     """Adds `rank` (from 1) in a repeatable random order, within each value of the partition columns.
 
     The hash is cut into equal slices, so ordering happens per slice; the slice
-    counts are the only thing ordered per partition value.
+    counts are the only thing ordered per partition value. They also give the row
+    count of each partition value, added under `size_name`.
     """
     part = list(partition or [])
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
@@ -92,14 +100,16 @@ def hash_rank(df: DataFrame, key: Column, seed: int, partition: list[str] | None
         *[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)],
         F.col("_slice").alias("_s"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(*part)).alias("_size"),
     )
     match = F.col("_slice") == F.col("_s")
     for i, c in enumerate(part):
         match = match & F.col(c).eqNullSafe(F.col(f"_p{i}"))
     inside = Window.partitionBy(*part, "_slice").orderBy("_h", key)
+    extra = [F.col("_size").alias(size_name)] if size_name else []
     return (
         sliced.withColumn("_in", F.row_number().over(inside))
         .join(offsets, match)
         .withColumn("rank", (F.col("_in") + F.col("_off")).cast("bigint"))
-        .select(*df.columns, "rank")
+        .select(*df.columns, "rank", *extra)
     )

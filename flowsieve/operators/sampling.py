@@ -31,13 +31,8 @@ def fixed_split(df: DataFrame, key: Column, test_size: int, train_size: int, see
 
 def mark_holdout(df: DataFrame, label: str, key: Column, share: float = 0.2, seed: int = 7) -> DataFrame:
     """Adds `holdout`: the first share of each class in hash order (class count rounded up)."""
-    ranked = hash_rank(df, key, seed, [label])
-    sizes = df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-    return (
-        ranked.join(sizes, F.col(label).eqNullSafe(F.col("_class")))
-        .withColumn("holdout", F.col("rank") <= F.ceil(F.col("_size") * F.lit(share)))
-        .drop("rank", "_class", "_size")
-    )
+    ranked = hash_rank(df, key, seed, [label], size_name="_size")
+    return ranked.withColumn("holdout", F.col("rank") <= F.ceil(F.col("_size") * F.lit(share))).drop("rank", "_size")
 
 
 def stratified_split(df: DataFrame, label: str, key: Column, share: float = 0.2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
