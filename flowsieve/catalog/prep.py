@@ -415,7 +415,12 @@ def exact_sample_counts(spark, sf):
     return spark.range(1).select(size(1000).alias("small"), size(150_000).alias("large"), size(None).alias("whole"))
 
 
-@register("j18_fixed_split", "SELECT 'test' AS part, 500::BIGINT AS n, 0::BIGINT AS shared UNION ALL SELECT 'train', 4500, 0")
+@register(
+    "j18_fixed_split",
+    """WITH t AS (SELECT count(DISTINCT l_orderkey) AS rows FROM lineitem)
+       SELECT 'test' AS part, least(500, rows) AS n, 0::BIGINT AS shared FROM t
+       UNION ALL SELECT 'train', greatest(0, least(4500, rows - 500)), 0 FROM t""",
+)
 def fixed_split(spark, sf):
     train, test = sampling.fixed_split(fixtures.series(spark, sf).select("row_id"), F.col("row_id"), 500, 4500)
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

@@ -95,7 +95,7 @@ def json_stream(spark, sf):
     return store.predictions().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("l05_streaming_minutes", with_ctes(_ROLLUP, "SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled WHERE minute_s < 1704067200 + 7080"))
+@register("l05_streaming_minutes", with_ctes(_ROLLUP, "SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled WHERE minute_s + 60 <= (SELECT max(t) - 60 FROM log)"))
 def stream_minutes(spark, sf):
     """Minutes closed by the watermark; the last two stay open."""
     root = scratch_path(spark, "minutes")
