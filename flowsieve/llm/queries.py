@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query of each operator.
 OPERATORS = {
     "op1_token_counts": "token_counts",
+    "op4_pii": "pii",
     "op7_simhash": "simhash",
     "op9_bpe_codec": "bpe_codec",
+    "op10_language_id": "langid",
 }
 
 
