@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_token_counts": "token_counts",
     "op4_pii": "pii",
     "op7_simhash": "simhash",
+    "op8_decontamination": "decontaminate",
     "op9_bpe_codec": "bpe_codec",
     "op10_language_id": "langid",
 }
