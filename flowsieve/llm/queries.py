@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_token_counts": "token_counts",
     "op4_pii": "pii",
+    "op5_quality_rules": "quality",
     "op7_simhash": "simhash",
     "op8_decontamination": "decontaminate",
     "op9_bpe_codec": "bpe_codec",
