@@ -12,6 +12,7 @@ OPERATORS = {
     "op1_token_counts": "token_counts",
     "op4_pii": "pii",
     "op5_quality_rules": "quality",
+    "op6_license_scan": "licenses",
     "op7_simhash": "simhash",
     "op8_decontamination": "decontaminate",
     "op9_bpe_codec": "bpe_codec",
