@@ -28,10 +28,10 @@ from flowsieve.llm.common import table
 # Short notices by licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "BSD-3-Clause": "Distributed under the BSD 3-Clause License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "The person who associated a work with this deed has dedicated the work to the public domain.",
+    "CC0-1.0": "CC0 1.0 Universal Public Domain Dedication.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
