@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query of each operator.
 OPERATORS = {
     "op1_token_counts": "token_counts",
+    "op2_suffix_dedup": "suffix_dedup",
     "op4_pii": "pii",
     "op5_quality_rules": "quality",
     "op6_license_scan": "licenses",
