@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_token_counts": "token_counts",
     "op2_suffix_dedup": "suffix_dedup",
+    "op3_chat_format": "chat",
     "op4_pii": "pii",
     "op5_quality_rules": "quality",
     "op6_license_scan": "licenses",
