@@ -125,7 +125,7 @@ def inherit(files: DataFrame, path_col: str = "path") -> DataFrame:
     licensed = rows.where(F.col("is_license_file") & F.col(path_col).isNotNull())
     owners = licensed.select("_l_dir", "cosine", "own_license", F.col(path_col).alias("p")).groupBy("_l_dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "p", "own_license")).alias("o")).select(F.col("_l_dir").alias("up"), "o.own_license", "o.p")
     parts = F.split("_l_dir", "/")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((F.size(parts) - k).alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct((F.size(parts) - k).alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
     places = rows.where(F.col(path_col).isNotNull()).select("_l_dir").distinct().select("_l_dir", F.inline(ups))
     nearest = places.join(owners, "up").groupBy("_l_dir").agg(F.min(F.struct("depth", "p", "own_license")).alias("n")).select(F.col("_l_dir").alias("_l_for"), F.col("n.own_license").alias("_l_license"), F.col("n.p").alias("_l_path"))
     joined = rows.join(nearest, F.col("_l_dir") == F.col("_l_for"), "left")
