@@ -225,13 +225,20 @@ class LocalOutlierFactor:
 
 
 def fit_local_outlier_factor(
-    train: DataFrame, columns: list[str], key: str, neighbours: int = NEIGHBOURS, contamination: float = 0.01
+    train: DataFrame,
+    columns: list[str],
+    key: str,
+    neighbours: int = NEIGHBOURS,
+    contamination: float = 0.01,
+    reference_rows: int = REFERENCE_ROWS,
 ) -> LocalOutlierFactor:
-    """Fit on a training sample of the method's size; a larger table has to be sampled by the caller first."""
+    """Fit on a repeatable sample of at most `reference_rows` rows; any number of rows can be scored.
+
+    The sample is what is broadcast. Its own neighbours are searched in parallel tasks.
+    """
     spark = train.sparkSession
-    if train.limit(REFERENCE_ROWS + 1).count() > REFERENCE_ROWS:
-        raise ValueError(f"fit on a sample of at most {REFERENCE_ROWS} rows")
-    local = train.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).toPandas().sort_values(key)
+    numbers = train.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    local = exact_sample(numbers, F.col(key), reference_rows).toPandas().sort_values(key)
     ref = local[columns].to_numpy()
     k = min(neighbours, len(ref) - 1)
     shared = spark.sparkContext.broadcast(ref)
@@ -283,7 +290,7 @@ def fit_one_class(
 ) -> OneClassBoundary:
     """Radial-kernel one-class boundary over random Fourier features (approximate).
 
-    Every step sums the gradient inside the tasks; one vector per task reaches the driver.
+    Every step sums the gradient inside the tasks and then by place; one vector reaches the driver.
     The offset is set last, as the nu-quantile of the training scores.
     """
     numbers = [F.col(c).cast("double").alias(c) for c in columns]
@@ -307,10 +314,13 @@ def fit_one_class(
                 inside = np.ones(len(z), dtype=bool) if current is None else z @ current.weights < current.offset
                 total += z[inside].sum(axis=0)
                 n += int(inside.sum())
-            yield pd.DataFrame({"total": [total], "n": [n]})
+            yield pd.DataFrame({"at": np.arange(width + 1), "value": np.append(total, n)})
 
-        parts = rows.mapInPandas(run, "total array<double>, n long").collect()
-        return np.sum([np.array(r.total) for r in parts], axis=0), sum(r.n for r in parts)
+        parts = rows.mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        out = np.zeros(width + 1)
+        for r in parts:
+            out[r["at"]] = r["value"]
+        return out[:width], int(out[width])
 
     count = stats[0]
     start, _ = sums(None)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowsieve.session import pinned
+
 RANGES = 128
 
 
@@ -29,8 +31,10 @@ def running_totals(
 ) -> DataFrame:
     """Adds cum_<c> (running sum in order) and all_<c> (grand total) for each value column.
 
-    `counted` holds one row per distinct value of the numeric order column.
+    `counted` holds one row per distinct value of the numeric order column. It is written once, as
+    the marks, the range totals and the ordered ranges all read it.
     """
+    counted = pinned(counted)
     ranged = _range_index(counted, order_col, ranges)
     sign = F.desc if descending else F.asc
     before = Window.orderBy(sign("_range")).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,16 +8,11 @@ from pyspark.sql.window import Window
 
 from flowsieve.operators.ordered import hash_rank
 
-# Up to this size Spark's bounded top-k is cheaper than ranking everything.
-TOP_K_LIMIT = 100_000
-
 
 def exact_sample(df: DataFrame, key: Column, n: int | None, seed: int = 42) -> DataFrame:
     """Exactly n rows in hash order of the key; all rows when there are no more than n."""
     if n is None or n <= 0:
         return df
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
     return hash_rank(df, key, seed).where(F.col("rank") <= n).drop("rank")
 
 
@@ -29,6 +24,12 @@ def fixed_split(df: DataFrame, key: Column, test_size: int, train_size: int, see
     return train, test
 
 
+def share_split(df: DataFrame, key: Column, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(train, test): every row in one of them, by four hex digits of the key's digest; row-local."""
+    cut = F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int") < round(share * 65536)
+    return df.where(~F.coalesce(cut, F.lit(False))), df.where(cut)
+
+
 def mark_holdout(df: DataFrame, label: str, key: Column, share: float = 0.2, seed: int = 7) -> DataFrame:
     """Adds `holdout`: the first share of each class in hash order (class count rounded up)."""
     ranked = hash_rank(df, key, seed, [label], size_name="_size")

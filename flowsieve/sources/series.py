@@ -5,13 +5,16 @@ Folder names may also be written as key=value, as a partitioned write leaves the
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.schema import SERIES_FOLDERS, SERIES_LEVELS
 
-# Fixed value: most files read in one go.
-MAX_FILES = 50_000
+#: Bytes of a file's beginning that its header line has to end in.
+HEADER_BYTES = 1 << 20
 
 
 def _list_csv(spark: SparkSession, directory: str, recursive: bool = False) -> list[str]:
@@ -34,8 +37,9 @@ def series_files(
     base: str,
     folders: tuple[str, ...] = SERIES_FOLDERS,
     levels: tuple[str, ...] = SERIES_LEVELS,
-    max_files: int = MAX_FILES,
+    max_files: int | None = None,
 ) -> list[str]:
+    """Files by folder, level and name: all, or the first max_files."""
     paths = [p for folder in folders for level in levels for p in _list_csv(spark, f"{base}/{folder}/{level}")]
     return paths[:max_files]
 
@@ -45,24 +49,35 @@ def tree_files(spark: SparkSession, base: str) -> list[str]:
     return _list_csv(spark, base, recursive=True)
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, of at most HEADER_BYTES; none if it is empty or can't be opened."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    except Py4JJavaError:
+        return None
+    begin = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEADER_BYTES)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(begin, "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
 def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by their header line, read by Spark; files without one are left out.
+    """Files grouped by their header line; files without one are left out.
 
-    The driver holds one short row per file, as it does for the listing itself.
+    The driver reads one line of each file it has listed, many at a time; no file is read whole.
     """
-    if not paths:
-        return {}
-    lines = (
-        spark.read.option("ignoreCorruptFiles", True)
-        .text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-        .withColumn("line", F.monotonically_increasing_id())
-    )
-    heads = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    paths = sorted(paths)
+    with ThreadPoolExecutor(32) as pool:
+        headers = list(pool.map(lambda p: _first_line(spark, p), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.orderBy("path").toLocalIterator():
-        names = tuple(n.strip().strip('"') for n in row.header.lstrip("\ufeff").split(","))
-        groups.setdefault(names, []).append(row.path)
+    for path, header in zip(paths, headers, strict=True):
+        if header:
+            names = tuple(n.strip().strip('"') for n in header.lstrip("\ufeff").split(","))
+            groups.setdefault(names, []).append(path)
     return groups
 
 

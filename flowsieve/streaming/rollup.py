@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.rollup import log_columns, rollup_measures
+from flowsieve.operators.rollup import MEASURES, approximate_distinct, log_columns, rollup_sums
 
 
 def streaming_minutes(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -14,8 +14,8 @@ def streaming_minutes(log: DataFrame, lateness: str = "10 minutes") -> DataFrame
     `lateness` is how long a minute stays open for late rows; it is not part of the batch form.
     """
     timed = log_columns(log).where(F.col("time").isNotNull()).withWatermark("time", lateness)
-    rolled = timed.groupBy(F.window("time", "1 minute")).agg(*rollup_measures(exact_distinct=False))
-    return rolled.withColumn("minute", F.col("window.start")).drop("window")
+    rolled = timed.groupBy(F.window("time", "1 minute")).agg(*rollup_sums(), *approximate_distinct())
+    return rolled.select(F.col("window.start").alias("minute"), *MEASURES)
 
 
 def first_predictions_within(predictions: DataFrame, lateness: str = "10 minutes") -> DataFrame:
