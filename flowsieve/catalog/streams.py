@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from flowsieve import fixtures
 from flowsieve.catalog.base import PREDICTIONS, fixed, register, with_ctes
-from flowsieve.catalog.prep import _PACKETS, _ROLLUP
+from flowsieve.catalog.prep import _JSON, _PACKETS, _ROLLUP
+from flowsieve.functions.scores import HEURISTIC_ANOMALY, HEURISTIC_WATCH, threshold_label
 from flowsieve.schema import PREDICTIONS as PREDICTION_SCHEMA
 from flowsieve.schema import TRAFFIC_LOG
 from flowsieve.session import pinned, scratch_path
 from flowsieve.sources.store import FlowStore
-from flowsieve.streaming.ingest import process_batch, recent_history, start_ingest
+from flowsieve.streaming.ingest import ACCOUNTING, recent_history, start_ingest
 from flowsieve.streaming.rollup import first_predictions_within, streaming_minutes
 
 NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)
@@ -24,31 +25,48 @@ fl AS (SELECT * FROM pk WHERE src_ip <> '' AND src_ip <> '8.8.4.3'),
 bursts AS (SELECT *, count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN 90000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM fl)"""
 
 
-def _ingested(spark, sf, kind="packets", files=2):
+def _deliver(spark, sf, root, kind, state, **options):
+    """The files below <root>/in, one a batch, to the store; a new state folder delivers all of them anew."""
+    store = FlowStore(spark, f"{root}/store")
+    options = {"now": NOW, "retention_minutes": 0, "retention_rows": 0, **options}
+    query = start_ingest(
+        spark, f"{root}/in", store, f"{root}/{state}", kind, available_now=True, files_per_trigger=1,
+        rdns=fixtures.reverse_dns(spark, sf), **options,
+    )
+    query.awaitTermination()
+    return store
+
+
+def _ingested(spark, sf, kind="packets", files=2, **options):
     root = scratch_path(spark, "ingest")
     lines = fixtures.packet_lines(spark, sf) if kind == "packets" else fixtures.json_payloads(spark, sf)
     lines.select("value").repartition(files).write.text(f"{root}/in")
     store = FlowStore(spark, f"{root}/store")
     block = spark.range(1).select(F.lit("8.8.4.3").alias("ip"), F.lit("block").alias("action"), F.lit(NOW).alias("at"))
     store.write_block_events(block, 0)
-    query = start_ingest(
-        spark, f"{root}/in", store, f"{root}/state", kind, available_now=True, files_per_trigger=1,
-        rdns=fixtures.reverse_dns(spark, sf), now=NOW,
-    )
-    query.awaitTermination()
-    return store
+    _deliver(spark, sf, root, kind, "state", **options)
+    return store, root
+
+
+def _accounting(spark, store):
+    return spark.read.schema(ACCOUNTING).json(f"{store.root}/accounting")
 
 
 @register(
     "l01_l03_packet_stream",
-    with_ctes(_STREAMED, "SELECT src_ip, pproto AS proto, count(*) AS n, CAST(sum(plen) AS BIGINT) AS bytes, count(*) AS scored FROM fl GROUP BY 1, 2"),
+    with_ctes(
+        _STREAMED,
+        """SELECT src_ip, pproto AS proto, count(*) AS n, CAST(sum(plen) AS BIGINT) AS bytes, count(*) AS scored, count(*) AS graded
+           FROM fl GROUP BY 1, 2""",
+    ),
 )
 def packet_stream(spark, sf):
-    """Packets in two files, one micro-batch each: stored flows, every one with a prediction."""
-    store = _ingested(spark, sf)
-    joined = store.flows().join(store.predictions().select("flow_id"), F.col("id") == F.col("flow_id"), "left")
+    """Packets in two files, one micro-batch each: stored flows, every one with one prediction whose label follows its score."""
+    store, _ = _ingested(spark, sf)
+    joined = store.flows().join(store.predictions().select("flow_id", "score", "label"), F.col("id") == F.col("flow_id"), "left")
+    graded = F.col("label") == threshold_label(F.col("score"), HEURISTIC_ANOMALY, HEURISTIC_WATCH)
     return joined.groupBy("src_ip", "proto").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count("flow_id").alias("scored")
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count("flow_id").alias("scored"), F.count_if(graded).alias("graded")
     )
 
 
@@ -56,22 +74,25 @@ def packet_stream(spark, sf):
     "l02_e16_stream_redelivery",
     with_ctes(
         _PACKETS,
-        """SELECT count(*) FILTER (src_ip <> '8.8.4.3') AS ingested, count(*) FILTER (src_ip = '8.8.4.3') AS blocked,
-           count(*) FILTER (src_ip <> '8.8.4.3') AS stored FROM pk WHERE src_ip <> ''""",
+        """SELECT delivery, count(*) FILTER (src_ip <> '8.8.4.3') AS ingested, count(*) FILTER (src_ip = '8.8.4.3') AS blocked,
+             count(*) FILTER (src_ip <> '8.8.4.3') AS queued, 0::BIGINT AS rejected, 0::BIGINT AS purged,
+             count(*) FILTER (src_ip <> '8.8.4.3') AS stored, true AS same
+           FROM pk, (VALUES (1), (2)) d(delivery) WHERE src_ip <> '' GROUP BY 1""",
     ),
 )
 def stream_redelivery(spark, sf):
-    """A batch processed a second time changes nothing."""
-    store = _ingested(spark, sf)
-    last = store.flows().agg(F.max("batch")).first()[0]
-    again = store.flows().where(F.col("batch") == last).drop("batch")
-    path = scratch_path(spark, "redelivered")
-    again.write.parquet(path)
-    process_batch(store, spark.read.parquet(path), last, rdns=fixtures.reverse_dns(spark, sf), now=NOW)
-    sums = spark.read.schema("batch long, ingested long, blocked long, scored long").json(f"{store.root}/accounting")
-    return sums.agg(F.sum("ingested").alias("ingested"), F.sum("blocked").alias("blocked")).withColumn(
-        "stored", store.flows().agg(F.count(F.lit(1))).scalar()
+    """All source files delivered a second time, to the same store: the same counts, flows and predictions."""
+    store, root = _ingested(spark, sf, now=None)
+    content = lambda: (
+        store.flows().agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "timestamp", "src_ip", "dst_ip", "bytes", F.to_json("extra")) % (1 << 40))).first(),
+        store.predictions().agg(F.count(F.lit(1)), F.sum(F.xxhash64("flow_id", "score", "label", "created_at") % (1 << 40))).first(),
     )
+    sums = lambda: _accounting(spark, store).agg(*[F.sum(c) for c in ("ingested", "blocked", "queued", "rejected", "purged")]).first()
+    before, first = content(), sums()
+    _deliver(spark, sf, root, "packets", "again", now=None)
+    after, second = content(), sums()
+    rows = [(n, *map(int, s), int(c[0][0]), c == before) for n, s, c in ((1, first, before), (2, second, after))]
+    return spark.createDataFrame(rows, "delivery int, ingested long, blocked long, queued long, rejected long, purged long, stored long, same boolean")
 
 
 @register("l04_burst_with_history", with_ctes(_STREAMED, "SELECT src_ip, count(*) AS n, CAST(sum(n) AS BIGINT) AS bursts FROM bursts WHERE id % 2 = 0 GROUP BY 1"))
@@ -89,10 +110,35 @@ def burst_with_history(spark, sf):
     return counted.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("burst_count").alias("bursts"))
 
 
-@register("l03_json_stream")
+_JSON_COUNTS = _JSON + """,
+r AS (SELECT CASE WHEN id % 50 = 49 THEN 1 ELSE 0 END AS payload, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS copies, k % 11 = 0 AS bad, src_ip
+  FROM flows)
+SELECT CAST(sum(copies) FILTER (payload = 0 AND NOT bad AND src_ip <> '8.8.4.3') AS BIGINT) AS stored,
+  CAST(sum(copies) FILTER (payload = 0 AND NOT bad AND src_ip <> '8.8.4.3') AS BIGINT) AS scored,
+  CAST(sum(copies) FILTER (payload = 0 AND NOT bad AND src_ip = '8.8.4.3') AS BIGINT) AS blocked,
+  CAST(sum(payload) AS BIGINT) AS payloads, CAST(sum(copies) FILTER (payload = 0 AND bad) AS BIGINT) AS records,
+  CAST(sum(payload) + sum(copies) FILTER (payload = 0 AND bad) AS BIGINT) AS rejected FROM r"""
+
+
+@register("l03_json_stream", "WITH " + _JSON_COUNTS)
 def json_stream(spark, sf):
-    store = _ingested(spark, sf, "json")
-    return store.predictions().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Payload lines: what is stored, scored, blocked and rejected."""
+    store, _ = _ingested(spark, sf, "json")
+    sums = _accounting(spark, store).agg(F.sum("blocked").alias("blocked"), F.sum("rejected").alias("rejected"))
+    reasons = store.rejects().agg(F.count_if(F.col("reason") == "payload").alias("payloads"), F.count_if(F.col("reason") != "payload").alias("records"))
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return sums.join(reasons, F.lit(True)).withColumns({"stored": count(store.flows()), "scored": count(store.predictions())})
+
+
+@register("l03_k01_k03_stream_retention", "SELECT true AS purged, true AS cascaded, true AS fits")
+def stream_retention(spark, sf):
+    """A late clock purges the whole store; a row limit keeps whole batches that hold the newest rows."""
+    late, _ = _ingested(spark, sf, now=datetime(2030, 1, 1, tzinfo=timezone.utc), retention_minutes=30)
+    few, _ = _ingested(spark, sf, files=4, retention_rows=100)
+    gone = late.flows().isEmpty() and late.predictions().isEmpty()
+    orphans = few.predictions().join(few.flows().select(F.col("id").alias("kept")), F.col("flow_id") == F.col("kept"), "left_anti").isEmpty()
+    kept = few.flows().select("batch").distinct().count()
+    return spark.createDataFrame([(gone, orphans, 1 <= kept < 4)], "purged boolean, cascaded boolean, fits boolean")
 
 
 @register("l05_streaming_minutes", with_ctes(_ROLLUP, "SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled WHERE minute_s + 60 <= (SELECT max(t) - 60 FROM log)"))
@@ -120,11 +166,14 @@ def stream_minutes(spark, sf):
     )
 
 
-@register("l06_first_predictions_stream", with_ctes(PREDICTIONS, "SELECT DISTINCT flow_id FROM predictions"))
+@register("l06_first_predictions_stream", with_ctes(PREDICTIONS, "SELECT flow_id, min(id) AS id FROM predictions GROUP BY 1"))
 def first_predictions_stream(spark, sf):
+    """Later predictions of a flow come in a later file; the first one stays."""
     root = scratch_path(spark, "firsts")
-    fixtures.predictions(spark, sf).write.parquet(f"{root}/in")
-    rows = spark.readStream.schema(PREDICTION_SCHEMA).parquet(f"{root}/in")
+    p = fixtures.predictions(spark, sf)
+    for part in (p.where("id < 100000000"), p.where("id >= 100000000")):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows = spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     query = (
         first_predictions_within(rows)
         .writeStream.format("parquet")
@@ -134,4 +183,4 @@ def first_predictions_stream(spark, sf):
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("flow_id")
+    return spark.read.parquet(f"{root}/out").select("flow_id", "id")

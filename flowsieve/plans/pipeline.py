@@ -44,11 +44,6 @@ def choose_scorer(
     return "heuristic", lambda flows, history=None: score_heuristic(flows, burst_mode, history)
 
 
-def record_id(*parts: Column) -> Column:
-    """A repeatable id of a record, so redelivery yields the same id."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 63) - 1))
-
-
 def prediction_rows(scored: DataFrame, now: Column) -> DataFrame:
     """Prediction rows of a scored batch, with the resolved attack name alongside."""
     return with_attack_type(scored).select(

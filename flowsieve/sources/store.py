@@ -1,14 +1,15 @@
-"""Flows and predictions as Parquet folders, one per micro-batch.
+"""Flows and predictions as Parquet folders, one per micro-batch, by day inside.
 
-A batch that is delivered again overwrites its own folder, so nothing doubles.
-Retention drops folders that are stale as a whole; readers filter the rest.
+A batch that is delivered again overwrites its own folders, so nothing doubles. A line of figures per
+batch (rows, newest flow) lets retention drop whole folders without reading them; readers filter the
+rest. Times prune by day.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,13 @@ from flowsieve.operators.lookups import active_blocks
 from flowsieve.operators.upkeep import RETENTION_MINUTES, RETENTION_ROWS, cascade, fold_block_events, retained
 from flowsieve.schema import BLOCK_EVENTS, FLOWS, PREDICTIONS
 
-_BATCH = T.StructField("batch", T.LongType())
+_BATCH = [T.StructField("batch", T.LongType()), T.StructField("day", T.StringType())]
+_SUMMARY = "batch long, rows long, newest timestamp"
+_REJECTS = T.StructType.fromDDL("id long, reason string, value string")
+
+
+def day_of(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
 
 
 class FlowStore:
@@ -30,34 +37,70 @@ class FlowStore:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _read(self, kind: str, fields: list[T.StructField]) -> DataFrame:
-        fs, where = self._fs(self._path(kind))
-        schema = T.StructType([*fields, _BATCH])
-        if not fs.exists(where):
+    def exists(self, kind: str, batch: int | None = None) -> bool:
+        fs, where = self._fs(self._path(kind, batch))
+        return fs.exists(where)
+
+    def _read(self, kind: str, fields: list[T.StructField], parts: list[T.StructField]) -> DataFrame:
+        schema = T.StructType([*fields, *parts])
+        if not self.exists(kind):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(kind))
 
     def flows(self) -> DataFrame:
-        return self._read("flows", FLOWS.fields)
+        return self._read("flows", FLOWS.fields, _BATCH).drop("day")
+
+    def flows_since(self, since: datetime) -> DataFrame:
+        """Flows from a time on; only the folders of those days are read."""
+        stored, first = self._read("flows", FLOWS.fields, _BATCH), F.lit(since)
+        return stored.where((F.col("day") >= day_of(first)) & (F.col("timestamp") >= first)).drop("day")
 
     def predictions(self) -> DataFrame:
-        return self._read("predictions", PREDICTIONS.fields)
+        return self._read("predictions", PREDICTIONS.fields, _BATCH).drop("day")
+
+    def rejects(self) -> DataFrame:
+        """Records that could not be stored, with the reason."""
+        return self._read("rejects", _REJECTS.fields, _BATCH[:1])
 
     def block_list(self) -> DataFrame:
-        return active_blocks(fold_block_events(self._read("block_events", BLOCK_EVENTS.fields)))
+        return active_blocks(fold_block_events(self._read("block_events", BLOCK_EVENTS.fields, _BATCH[:1])))
 
-    def _write(self, kind: str, df: DataFrame, fields: list[T.StructField], batch: int) -> None:
-        df.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(self._path(kind, batch))
+    def _write(self, kind: str, df: DataFrame, fields: list[T.StructField], batch: int, time: str | None = None) -> None:
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+        if time is None:
+            rows.write.mode("overwrite").parquet(self._path(kind, batch))
+        else:
+            rows.withColumn("day", day_of(F.col(time))).write.mode("overwrite").partitionBy("day").parquet(self._path(kind, batch))
 
     def write_flows(self, df: DataFrame, batch: int) -> None:
-        self._write("flows", df, FLOWS.fields, batch)
+        self._write("flows", df, FLOWS.fields, batch, "timestamp")
+        written = self.flows().where(F.col("batch") == batch)
+        figures = written.agg(F.lit(batch).alias("batch"), F.count(F.lit(1)).alias("rows"), F.max("timestamp").alias("newest"))
+        figures.coalesce(1).write.mode("overwrite").json(self._path("figures", batch).replace("batch=", "of="))
 
     def write_predictions(self, df: DataFrame, batch: int) -> None:
-        self._write("predictions", df, PREDICTIONS.fields, batch)
+        self._write("predictions", df, PREDICTIONS.fields, batch, "created_at")
 
     def write_block_events(self, df: DataFrame, batch: int) -> None:
         self._write("block_events", df, BLOCK_EVENTS.fields, batch)
 
+    def write_rejects(self, df: DataFrame, batch: int) -> None:
+        self._write("rejects", df, _REJECTS.fields, batch)
+
+    def arrival(self, batch: int) -> datetime:
+        """When a batch first came, written then: a second delivery gets the same time."""
+        where = self._path("arrival", batch)
+        if not self.exists("arrival", batch):
+            row = [(int(datetime.now(timezone.utc).timestamp() * 1e6),)]
+            self.spark.createDataFrame(row, "us long").coalesce(1).write.mode("overwrite").parquet(where)
+        return datetime.fromtimestamp(self.spark.read.schema("us long").parquet(where).first()[0] / 1e6, timezone.utc)
+
+    def figures(self) -> DataFrame:
+        """(batch, rows, newest) of the stored batches."""
+        if not self.exists("figures"):
+            return self.spark.createDataFrame([], _SUMMARY)
+        return self.spark.read.schema(_SUMMARY).json(self._path("figures"))
+
     def retained(
         self, now: datetime, minutes: int = RETENTION_MINUTES, max_rows: int = RETENTION_ROWS
     ) -> tuple[DataFrame, DataFrame]:
@@ -65,16 +108,25 @@ class FlowStore:
         flows = retained(self.flows(), F.lit(now), minutes, max_rows)
         return flows, cascade(self.predictions(), flows)
 
-    def drop_stale(self, now: datetime, minutes: int = RETENTION_MINUTES) -> int:
-        """Delete batch folders whose newest flow is older than the cutoff; returns how many."""
-        if minutes <= 0:
-            return 0
-        newest = self.flows().groupBy("batch").agg(F.max("timestamp").alias("last"))
-        stale = newest.where(F.col("last") < F.lit(now - timedelta(minutes=minutes)))
-        dropped = 0
-        for row in stale.orderBy("batch").toLocalIterator():
-            for kind in ("predictions", "flows"):
-                fs, where = self._fs(self._path(kind, row.batch))
+    def drop_stale(self, now: datetime, minutes: int = RETENTION_MINUTES, max_rows: int = 0) -> int:
+        """Delete the folders of batches that hold nothing retention keeps; returns how many.
+
+        Those whose newest flow is older than the cutoff, and the oldest ones beyond the batches that
+        hold the newest max_rows rows. Zero or less sets no limit. Only figures are read.
+        """
+        return self.purge(now, minutes, max_rows)[0]
+
+    def purge(self, now: datetime, minutes: int = RETENTION_MINUTES, max_rows: int = RETENTION_ROWS) -> tuple[int, int]:
+        """drop_stale(), and the number of flows that went."""
+        stale, newer = [], 0
+        for row in self.figures().orderBy(F.desc_nulls_last("newest"), F.desc("batch")).toLocalIterator():
+            newest = row.newest.replace(tzinfo=timezone.utc) if row.newest and row.newest.tzinfo is None else row.newest
+            old = minutes > 0 and newest is not None and newest < now - timedelta(minutes=minutes)
+            if old or (max_rows > 0 and newer >= max_rows):
+                stale.append((row.batch, row.rows))
+            newer += row.rows
+        for batch, _ in sorted(stale):
+            for path in (self._path("predictions", batch), self._path("flows", batch), self._path("figures", batch).replace("batch=", "of=")):
+                fs, where = self._fs(path)
                 fs.delete(where, True)
-            dropped += 1
-        return dropped
+        return len(stale), sum(rows for _, rows in stale)

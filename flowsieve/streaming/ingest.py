@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,47 +11,70 @@ from pyspark.sql.streaming import StreamingQuery
 from flowsieve.functions.scores import BURST_WINDOW_SECONDS
 from flowsieve.operators.burst import TRAILING
 from flowsieve.operators.lookups import absent_predictions, mark_blocked, set_extra, with_reverse_dns
-from flowsieve.plans.pipeline import choose_scorer, prediction_rows, record_id
+from flowsieve.operators.ordered import hash_rank
+from flowsieve.operators.upkeep import RETENTION_MINUTES, RETENTION_ROWS
+from flowsieve.plans.pipeline import choose_scorer, prediction_rows
 from flowsieve.session import pinned
 from flowsieve.sources import flow_json, packets
 from flowsieve.sources.store import FlowStore
 
-# Longest wait of a micro-batch and its size in records.
+# Fixed value: longest wait of a micro-batch.
 TRIGGER_SECONDS = 2
-BATCH_RECORDS = 50
+#: Ids of a batch: its number times this, and the place of the record.
+BATCH_IDS = 1 << 36
+#: Copies of one line that are unfolded together.
+COPIES = 4096
+ACCOUNTING = "batch long, ingested long, blocked long, scored long, queued long, rejected long, purged long"
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines (file, value) with an id that a second delivery of the same files repeats.
+def numbered_lines(lines: DataFrame, batch_id: int = 0) -> DataFrame:
+    """Lines (file, value) with an id that a second delivery of the same batch repeats.
 
-    Equal lines of one file are told apart by a running number, made by counting
-    them (which combines map-side) and unfolding the count.
+    Equal lines of one file are told apart by a running number, made by counting them (which combines
+    map-side) and unfolding the count, many copies in parts of their own. The id is the batch and the
+    line's place in a repeatable order, so no two records share one.
     """
-    counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    copies = counted.select("file", "value", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return copies.select(record_id(F.col("file"), F.col("value"), F.col("copy")).alias("id"), "value")
+    counted = lines.groupBy("file", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.select("file", "value", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    parts = parts.repartition("file", "value", "part")
+    first = F.col("part") * COPIES
+    copies = parts.select("file", "value", F.explode(F.sequence(first + 1, F.least(F.col("n"), first + COPIES))).alias("copy"))
+    return placed(copies, F.struct("file", "value", "copy"), batch_id).select("id", "value")
 
 
-def packets_to_flows(lines: DataFrame, arrival: Column) -> DataFrame:
-    parsed = packets.ip_packets(packets.packet_fields(numbered_lines(lines)))
-    return packets.packet_flows(parsed, arrival, keep=("id",))
+def placed(df: DataFrame, key: Column, batch_id: int) -> DataFrame:
+    """Adds `id` from the batch and the rank of a unique key."""
+    return hash_rank(df, key, 42).withColumn("id", F.lit(batch_id * BATCH_IDS) + F.col("rank")).drop("rank")
 
 
-def payloads_to_flows(lines: DataFrame, arrival: Column) -> DataFrame:
-    records = flow_json.payload_records(numbered_lines(lines))
-    flows = flow_json.usable(flow_json.parsed_flows(records, arrival, keep=("id", "pos")))
-    return flows.withColumn("id", record_id(F.col("id"), F.col("pos"))).drop("pos")
+def packets_to_flows(lines: DataFrame, arrival: Column, batch_id: int = 0) -> tuple[DataFrame, None]:
+    """Flows of capture lines; lines that are no IP packets are part of every capture and not counted."""
+    parsed = packets.ip_packets(packets.packet_fields(numbered_lines(lines, batch_id)))
+    return packets.packet_flows(parsed, arrival, keep=("id",)), None
+
+
+def payloads_to_flows(lines: DataFrame, arrival: Column, batch_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(flows, rejects): records that can be stored, and payloads and records that can't, with the reason."""
+    payloads = pinned(numbered_lines(lines, batch_id))
+    parsed = pinned(flow_json.parsed_flows(flow_json.payload_records(payloads), arrival, keep=("id", "pos")))
+    flows = placed(flow_json.usable(parsed).withColumnRenamed("id", "payload"), F.struct("payload", "pos"), batch_id)
+    whole = flow_json.rejected_payloads(payloads).select("id", F.lit("payload").alias("reason"), "value")
+    bad = flow_json.rejected(parsed).select("id", F.col("rejected").alias("reason"), "pos")
+    records = bad.join(payloads, "id").select("id", "reason", "value")
+    return flows.drop("payload", "pos"), whole.unionByName(records)
 
 
 def recent_history(store: FlowStore, batch: DataFrame, batch_id: int) -> DataFrame:
-    """Stored flows of other batches that can fall into a burst window of this batch's sources."""
+    """Stored flows of earlier batches that can fall into a burst window of this batch's sources.
+
+    Later ones are left out: when a batch is delivered again, it has to see what it saw at first.
+    """
     first = batch.agg(F.min("timestamp")).first()[0]
-    stored = store.flows().where(F.col("batch") != batch_id)
     if first is None:
-        return stored.where(F.lit(False))
-    since = F.lit(first) - F.make_dt_interval(secs=F.lit(BURST_WINDOW_SECONDS))
+        return store.flows().where(F.lit(False))
+    stored = store.flows_since(first - timedelta(seconds=BURST_WINDOW_SECONDS)).where(F.col("batch") < batch_id)
     sources = batch.select(F.col("src_ip").alias("_src")).distinct()
-    return stored.where(F.col("timestamp") >= since).join(sources, F.col("src_ip") == F.col("_src"), "left_semi")
+    return stored.join(sources, F.col("src_ip") == F.col("_src"), "left_semi")
 
 
 def process_batch(
@@ -63,29 +86,48 @@ def process_batch(
     detector_path: str | None = None,
     burst_mode: str = TRAILING,
     now: datetime | None = None,
+    rejects: DataFrame | None = None,
+    retention_minutes: int = RETENTION_MINUTES,
+    retention_rows: int = RETENTION_ROWS,
 ) -> dict[str, int]:
-    """Block-list filter, store, enrich, score, resolve attacks, store predictions; returns the counts.
+    """Block-list filter, store, enrich, score, resolve attacks, store predictions, purge; returns the counts.
 
-    Safe to run again for the same batch: both folders are overwritten with equal content.
+    Safe to run again for the same batch: its folders are overwritten with equal content, and without
+    a given time the batch keeps that of its first delivery.
     """
     spark = store.spark
-    now = now or datetime.now(timezone.utc)
+    now = now or store.arrival(batch_id)
     marked = pinned(mark_blocked(flows, store.block_list()))
     counts = marked.agg(F.count_if(~F.col("blocked")).alias("ingested"), F.count_if("blocked").alias("blocked")).first()
     accepted = marked.where(~F.col("blocked")).drop("blocked")
     if rdns is not None:
         accepted = with_reverse_dns(accepted, rdns)
     mode, score = choose_scorer(spark, ensemble_path, detector_path, burst_mode)
-    scored = pinned(prediction_rows(score(accepted, recent_history(store, accepted, batch_id)), F.lit(now)))
+    history = recent_history(store, accepted, batch_id) if mode == "heuristic" else None
+    scored = pinned(prediction_rows(score(accepted, history), F.lit(now)))
     tags = scored.select("flow_id", "attack_type")
     tagged = accepted.join(tags, F.col("id") == F.col("flow_id"), "left")
     store.write_flows(
         tagged.withColumn("extra", set_extra(tagged.drop("attack_type"), attack_type=F.col("attack_type"))), batch_id
     )
-    earlier = store.predictions().where(F.col("batch") != batch_id)
+    # Files whose ids don't reach into the batch's are left out by their statistics.
+    ids = scored.agg(F.min("flow_id").alias("a"), F.max("flow_id").alias("b")).first()
+    earlier = store.predictions().where(F.col("batch") < batch_id)
+    earlier = earlier.where(F.col("flow_id").between(ids.a, ids.b)) if ids.a is not None else earlier.where(F.lit(False))
     fresh = pinned(absent_predictions(earlier, scored.drop("attack_type").withColumn("seq", F.col("id"))))
     store.write_predictions(fresh, batch_id)
-    return {"ingested": counts["ingested"], "blocked": counts["blocked"], "scored": fresh.count()}
+    if rejects is not None:
+        rejects = pinned(rejects)
+        store.write_rejects(rejects, batch_id)
+    purged = store.purge(now, retention_minutes, retention_rows)[1]
+    return {
+        "ingested": counts["ingested"],
+        "blocked": counts["blocked"],
+        "scored": fresh.count(),
+        "queued": counts["ingested"],
+        "rejected": 0 if rejects is None else rejects.count(),
+        "purged": purged,
+    }
 
 
 def start_ingest(
@@ -98,20 +140,21 @@ def start_ingest(
     files_per_trigger: int = 1000,
     **options,
 ) -> StreamingQuery:
-    """Run the ingest over a folder that files are added to; counts per batch go to `<root>/accounting`."""
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .text(source)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-    )
+    """Run the ingest over a folder that files are added to; counts per batch go to `<root>/accounting`.
+
+    kind: packets, json (a payload on each line) or json-files (each file is one payload, over any
+    number of lines).
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", kind == "json-files")
+    lines = reader.text(source).select("value", F.col("_metadata.file_path").alias("file"))
     to_flows = packets_to_flows if kind == "packets" else payloads_to_flows
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        counts = process_batch(store, to_flows(batch, F.current_timestamp()), batch_id, **options)
-        row = [(batch_id, counts["ingested"], counts["blocked"], counts["scored"])]
-        spark.createDataFrame(row, "batch long, ingested long, blocked long, scored long").coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{store.root}/accounting/run={batch_id}")
+        arrival = options.get("now") or store.arrival(batch_id)
+        flows, rejects = to_flows(batch, F.lit(arrival), batch_id)
+        counts = process_batch(store, flows, batch_id, rejects=rejects, **{**options, "now": arrival})
+        row = [(batch_id, *(counts[k] for k in ("ingested", "blocked", "scored", "queued", "rejected", "purged")))]
+        spark.createDataFrame(row, ACCOUNTING).coalesce(1).write.mode("overwrite").json(f"{store.root}/accounting/run={batch_id}")
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{TRIGGER_SECONDS} seconds")
