@@ -219,8 +219,8 @@ SERIES_SQL = """series AS (
   FROM lineitem GROUP BY 1)"""
 
 
-def written_series(spark, sf):
-    """Series files by folder and level; hourly files carry other columns than the rest."""
+def written_series(spark, sf, files=None):
+    """Series files by folder and level; hourly files carry other columns than the rest. files: parts of each write."""
     base = scratch_path(spark, "series")
     s = fixtures.series(spark, sf)
     part = ["folder", "agg_level"]
@@ -232,6 +232,7 @@ def written_series(spark, sf):
         *part,
     )
     for frame in (full, hourly):
+        frame = frame if files is None else frame.coalesce(files)
         frame.write.mode("append").option("header", True).partitionBy(*part).csv(base)
     folders = tuple(f"folder={f}" for f in fixtures.SERIES_FOLDERS) + ("folder=absent",)
     return base, folders
@@ -274,11 +275,20 @@ def series_union(spark, sf):
     )
 
 
-@register("g06_first_files")
+@register(
+    "g06_first_files",
+    with_ctes(
+        SERIES_SQL,
+        """SELECT folder, agg_level, count(*) AS n FROM series WHERE folder = 'institutions'
+           OR (folder = 'institution_subnets' AND agg_level = 'agg_10_minutes') GROUP BY 1, 2""",
+    ),
+)
 def first_files(spark, sf):
-    base, folders = written_series(spark, sf)
-    files = series.series_files(spark, base, folders, tuple(f"agg_level={v}" for v in fixtures.SERIES_LEVELS), max_files=6)
-    return series.read_any(spark, files, ("n_flows", "n_packets", "n_bytes")).groupBy("folder", "agg_level").count()
+    """The first four files by folder and level, each folder and level being one file."""
+    base, folders = written_series(spark, sf, files=1)
+    files = series.series_files(spark, base, folders, tuple(f"agg_level={v}" for v in fixtures.SERIES_LEVELS), max_files=4)
+    counted = series.read_any(spark, files, ("n_flows", "n_packets", "n_bytes")).groupBy("folder", "agg_level")
+    return counted.agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -400,11 +410,21 @@ def target_class_rows(spark, sf):
 # --- samples and splits ---
 
 
-@register("a05_g07_exact_sample")
+@register(
+    "a05_g07_exact_sample",
+    "SELECT least(1000, count(*)) AS rows, least(1000, count(*)) AS known, true AS same FROM lineitem",
+)
 def exact_sample(spark, sf):
+    """A sample of the written rows: its size, those that the table has, and whether a second draw is the same."""
     path = scratch_path(spark, "labelled")
-    tables.write_csv(fixtures.labelled_flows(spark, sf), path)
-    return tables.read_labelled_csv(spark, path, sample=1000)
+    whole = fixtures.labelled_flows(spark, sf)
+    tables.write_csv(whole, path)
+    sample, again = (pinned(tables.read_labelled_csv(spark, path, sample=1000)) for _ in range(2))
+    key = lambda df: df.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("label").cast("string").alias("label"))
+    known = key(sample).join(key(whole), ["row_id", "label"], "left_semi")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    sums = sample.agg(F.count(F.lit(1)).alias("rows"))
+    return sums.withColumns({"known": count(known), "same": count(sample.exceptAll(again)) == 0})
 
 
 @register("g07_exact_sample_counts", "SELECT 1000::BIGINT AS small, least(count(*), 150000) AS large, count(*) AS whole FROM lineitem")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.schema import EXTRA, SERIES_FOLDERS, SERIES_LEVELS
+from flowsieve.session import spread
 
 ORIGIN_US = 1_704_067_200_000_000
 
@@ -26,7 +27,7 @@ def flow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Time runs 100 times faster than in the events, so that bursts occur.
     """
-    raw = table(spark, sf_dir, "events").selectExpr(
+    raw = spread(table(spark, sf_dir, "events")).selectExpr(
         "event_id AS id",
         f"{ORIGIN_US} + CAST(floor((unix_micros(CAST(ts AS TIMESTAMP)) - {ORIGIN_US}) / 100) AS BIGINT) AS ts_us",
         "user_id",

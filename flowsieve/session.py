@@ -54,3 +54,9 @@ def pinned(df: DataFrame) -> DataFrame:
     """The rows as they are now, kept as a checkpoint in the shared folder: computed once, lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, if the scan has fewer: a table of few row groups."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,7 +19,7 @@ from flowsieve.schema import BLOCK_EVENTS, FLOWS, PREDICTIONS
 
 _BATCH = [T.StructField("batch", T.LongType()), T.StructField("day", T.StringType())]
 _SUMMARY = "batch long, rows long, newest timestamp"
-_REJECTS = T.StructType.fromDDL("id long, reason string, value string")
+_REJECTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("value", T.StringType())])
 
 
 def day_of(ts: Column) -> Column:

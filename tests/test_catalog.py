@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from flowsieve.catalog import load
 from tools.check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,6 +21,11 @@ def test_every_comparison_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_every_query_of_the_catalog_has_a_comparison():
+    queries, sql = load()
+    assert set(queries) == set(sql)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches(spark, con, name):
     note, _, ok = compare(spark, con, name, QUERIES[name], SQL[name], SF_DIR)
