@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from flowsieve.llm.common import slices, table
 from flowsieve.llm.wordbpe import VOCABULARY, pre_tokens, vocabulary_path
@@ -181,7 +182,7 @@ def _codec(path: str) -> Codec:
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """df with token_ids (array of ints) and decoded (string); a null text is an empty one. Columns of these names are replaced."""
-    return _mapped(df, text_col, path, lambda ids, said: ([int(x) for x in ids.split()], said), [("token_ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")])
+    return _mapped(df, text_col, path, lambda ids, said: ([int(x) for x in ids.split()], said), [("token_ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("decoded", pa.string(), T.StringType())])
 
 
 def digests(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -193,7 +194,7 @@ def digests(df: DataFrame, text_col: str = "text", path: str | None = None) -> D
     def made(ids: str, said: str):
         return (ids.count(" ") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(said.encode()).hexdigest())
 
-    return _mapped(df, text_col, path, made, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], keep_text=False)
+    return _mapped(df, text_col, path, made, [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())], keep_text=False)
 
 
 def _mapped(df: DataFrame, text_col: str, path: str | None, made: Callable, fields: list, keep_text: bool = True) -> DataFrame:
@@ -201,7 +202,7 @@ def _mapped(df: DataFrame, text_col: str, path: str | None, made: Callable, fiel
     new = [f[0] for f in fields]
     df = df.drop(*[c for c in new if c != text_col])
     kept = [c for c in df.columns if (keep_text or c != text_col) and c not in new]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), *(f"{n} {t}" for n, _, t in fields)])
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *(T.StructField(n, t) for n, _, t in fields)])
     place = df.columns.index(text_col)
     places = [df.columns.index(c) for c in kept]
     kinds = [k for _, k, _ in fields]
