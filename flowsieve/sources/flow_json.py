@@ -104,7 +104,7 @@ def rejected(flows: DataFrame) -> DataFrame:
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Payload files, one payload per file, with the file name kept."""
-    return spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def read_payload_lines(spark: SparkSession, path: str) -> DataFrame:

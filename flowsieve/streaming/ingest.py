@@ -145,8 +145,8 @@ def start_ingest(
     kind: packets, json (a payload on each line) or json-files (each file is one payload, over any
     number of lines).
     """
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", kind == "json-files")
-    lines = reader.text(source).select("value", F.col("_metadata.file_path").alias("file"))
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    lines = reader.text(source, wholetext=kind == "json-files").select("value", F.col("_metadata.file_path").alias("file"))
     to_flows = packets_to_flows if kind == "packets" else payloads_to_flows
 
     def run(batch: DataFrame, batch_id: int) -> None:
