@@ -17,19 +17,18 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else too.
 An anchor with more than CROWD different contexts is not sorted in one task: the hashes of its windows
 are counted instead, one row for each window, which combine before they are exchanged.
 
-Equality of strings is that of 64-bit hashes and, for texts, of two of them.
+Equality of strings is that of 64-bit hashes and, for rows, of two of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowsieve.llm.common import slices, table
 from flowsieve.llm.suffix_sort import suffix_array
@@ -210,13 +209,16 @@ def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(d, id, text): rows with equal ids and texts have equal keys, and equal results."""
-    return df.select(F.xxhash64(id_col, text_col).alias("d"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+#: A row's key: rows with equal ids and texts have equal keys, and equal results.
+KEY = ["d", "e"]
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(id_col, text_col).alias("d"), F.xxhash64(text_col, id_col).alias("e")]
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """Every anchor: its text, place, hash and context's hash, size and bytes before the anchor."""
+    """Every anchor of texts (d, e, text): its place, hash and context's hash, size and bytes before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -231,19 +233,16 @@ def _places(docs: DataFrame) -> DataFrame:
                         found.append((place, name, _context_hash(context, before), len(context), before))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             of = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], ["d", "id", "place", "a", "c", "size", "before"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], ["d", "e", "place", "a", "c", "size", "before"])
 
-    out = T.StructType([docs.schema["d"], docs.schema["id"], *T.StructType.fromDDL("place long, a long, c long, size int, before int")])
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in out]))
+    return docs.mapInArrow(run, "d long, e long, place long, a long, c long, size int, before int")
 
 
 _CONTEXTS = "a long, c long, m long, owner long, before int, context binary"
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (d, id, a, c, m, place), one place for each."""
-    lists = wanted.groupBy("d", "id").agg(F.collect_list(F.struct("a", "c", "m", "place")).alias("w")).select(F.col("d").alias("wd"), F.col("id").alias("wid"), "w")
-    rows = docs.join(lists, (F.col("d") == F.col("wd")) & F.col("id").eqNullSafe(F.col("wid"))).select("d", "text", *(F.col(f"w.{n}").alias(n) for n in ("a", "c", "m", "place")))
+def _contexts(texts: DataFrame) -> DataFrame:
+    """The bytes of the wanted contexts of texts (d, text, a, c, m, place: arrays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -257,7 +256,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, (pa.int64(),) * 4 + (pa.int32(), pa.binary()), strict=True)], ["a", "c", "m", "owner", "before", "context"])
 
-    return rows.mapInArrow(run, _CONTEXTS)
+    return texts.select("d", "text", "a", "c", "m", "place").mapInArrow(run, _CONTEXTS)
 
 
 def _sorted_out(contexts: DataFrame) -> DataFrame:
@@ -313,36 +312,56 @@ def _counted_out(contexts: DataFrame) -> DataFrame:
     return windows.join(often, ["a", "lo", "h"]).groupBy("a", "c").agg(F.min("lo").alias("lo"), (F.max("lo") + LENGTH).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(d, id, spans): of the rows of _keyed() that hold repeats, the intervals of bytes that they cover."""
-    spark = docs.sparkSession
-    where = scratch_path(spark, "anchors")
-    _places(docs).write.parquet(where)
-    places = spark.read.parquet(where)
+def _written(df: DataFrame, name: str) -> DataFrame:
+    where = scratch_path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
+def changes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """(d, e, n_removed, n_spans, kept): what becomes of the texts that hold repeats, one row for each key.
+
+    Whole texts are exchanged once, to those that share an anchor; from there on only these are read.
+    """
+    docs = df.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+    places = _written(_places(docs), "anchors")
     twice = places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    where = scratch_path(spark, "shared-anchors")
-    places.join(twice, "a", "left_semi").write.parquet(where)
-    shared = spark.read.parquet(where)
+    shared = _written(places.join(twice, "a", "left_semi"), "shared-anchors")
 
-    where = scratch_path(spark, "contexts")
-    contexts = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "id", "place")).alias("one"), F.first("size").alias("size"), F.first("before").alias("before"))
+    contexts = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("one"), F.first("size").alias("size"), F.first("before").alias("before"))
     kinds = contexts.groupBy("a").agg(F.count("*").alias("m"))
-    contexts.join(kinds, "a").select("a", "c", "n", "m", "size", "before", "one.d", "one.id", "one.place").write.parquet(where)
-    contexts = spark.read.parquet(where)
+    contexts = _written(contexts.join(kinds, "a").select("a", "c", "n", "m", "size", "before", "one.d", "one.e", "one.place"), "contexts")
     equal = contexts.where(f"n > 1 AND size >= {LENGTH}").select("a", "c", (-F.col("before").cast("long")).alias("lo"), (F.col("size") - F.col("before")).cast("long").alias("hi"))
-    most = contexts.agg(F.max("m")).first()[0] or 0
-    bytes_ = _contexts(docs, contexts.where("m > 1"))
-    if most > crowd:
-        where = scratch_path(spark, "context-bytes")
-        bytes_.write.parquet(where)
-        bytes_ = spark.read.parquet(where)
-        found = _sorted_out(bytes_.where(F.col("m") <= crowd)).union(_counted_out(bytes_.where(F.col("m") > crowd)))
-    else:
-        found = _sorted_out(bytes_)
+
+    # One place of each context stands for all; every text with a shared anchor comes along.
+    wanted = contexts.where("m > 1").select(*KEY, F.struct("a", "c", "m", "place").alias("w")).unionByName(shared.select(*KEY).distinct(), allowMissingColumns=True)
+    wanted = wanted.groupBy(*KEY).agg(F.collect_list("w").alias("w"))
+    texts = docs.join(wanted, KEY).select(*KEY, "text", *(F.col(f"w.{n}").alias(n) for n in ("a", "c", "m", "place")))
+    texts = _written(texts, "texts")
+
+    bytes_ = _contexts(texts)
+    found = _sorted_out(bytes_.where(F.col("m") <= crowd))
+    if (contexts.agg(F.max("m")).first()[0] or 0) > crowd:
+        found = found.union(_counted_out(bytes_.where(F.col("m") > crowd)))
     # All intervals of a context hold its anchor, so together they are one.
     cover = equal.union(found).groupBy("a", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spans = shared.join(cover, ["a", "c"]).select("d", "id", F.struct((F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi")).alias("end")).alias("s"))
-    return spans.groupBy("d", "id").agg(F.collect_set("s").alias("spans"))
+    spans = shared.join(cover, ["a", "c"]).select(*KEY, F.struct((F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi")).alias("end")).alias("s"))
+    spans = spans.groupBy(*KEY).agg(F.collect_set("s").alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    rows = texts.select(*KEY, "text").join(spans, KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for text, start, end in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                data, gone = text.encode(), merged(list(zip(start, end, strict=True)))
+                kept = b"".join([data[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(data)], strict=True)])
+                out.append((len(data) - len(kept), len(gone), kept))
+            made = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names)
+
+    names = [*KEY, "n_removed", "n_spans", "kept"]
+    made = rows.mapInArrow(run, "d long, e long, n_removed long, n_spans long, kept binary")
+    return made.dropDuplicates(KEY)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -364,25 +383,23 @@ def without_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     be UTF-8, as cuts fall between any bytes. Other columns of df are left out; an empty table gives
     an empty one.
     """
-    docs = _keyed(df, text_col, id_col)
-    spans = repeated_spans(docs, crowd).select(F.col("d").alias("sd"), F.col("id").alias("sid"), F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
-    rows = docs.join(spans, (F.col("d") == F.col("sd")) & F.col("id").eqNullSafe(F.col("sid")), "left").select("id", "text", "start", "end")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return _merged_rows(df, text_col, id_col, crowd, text.cast("binary").alias("own"), lambda kept: kept, "kept")
+
+
+def digests(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """without_repeats() with the SHA-256 of what stays in place of the bytes: unchanged texts are digested where they are."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return _merged_rows(df, text_col, id_col, crowd, F.sha2(text.cast("binary"), 256).alias("own"), lambda kept: F.sha2(kept, 256), "kept_sha256")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[tuple] = []
-            for text, start, end in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                data = text.encode() if text else b""
-                gone = merged(list(zip(start, end, strict=True))) if start else []
-                kept = b"".join([data[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(data)], strict=True)])
-                out.append((len(data), len(data) - len(kept), len(gone), kept))
-            made = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
 
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept"]
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")]))
+def _merged_rows(df: DataFrame, text_col: str, id_col: str, crowd: int, own: Column, of: Callable[[Column], Column], name: str) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), own)
+    changed = changes(df, text_col, id_col, crowd).select(*KEY, "n_removed", "n_spans", of(F.col("kept")).alias("changed"))
+    joined = rows.join(changed, KEY, "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("changed", "own").alias(name))
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
-    rows = without_repeats(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return digests(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
