@@ -325,7 +325,9 @@ def changes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", crowd
     """
     docs = df.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
     places = _written(_places(docs), "anchors")
-    twice = places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # Written before they are joined: Spark splits a frequent key only if nothing stands between
+    # an exchange and the join, and one anchor or context may have a third of all places.
+    twice = _written(places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "twice")
     shared = _written(places.join(twice, "a", "left_semi"), "shared-anchors")
 
     contexts = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("one"), F.first("size").alias("size"), F.first("before").alias("before"))
@@ -344,7 +346,7 @@ def changes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", crowd
     if (contexts.agg(F.max("m")).first()[0] or 0) > crowd:
         found = found.union(_counted_out(bytes_.where(F.col("m") > crowd)))
     # All intervals of a context hold its anchor, so together they are one.
-    cover = equal.union(found).groupBy("a", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cover = _written(equal.union(found).groupBy("a", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "cover")
     spans = shared.join(cover, ["a", "c"]).select(*KEY, F.struct((F.col("place") + F.col("lo")).alias("start"), (F.col("place") + F.col("hi")).alias("end")).alias("s"))
     spans = spans.groupBy(*KEY).agg(F.collect_set("s").alias("s")).select(*KEY, F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     rows = texts.select(*KEY, "text").join(spans, KEY)
