@@ -41,8 +41,9 @@ ROUNDS, RATE, PRIOR = 30, 0.5, 1e-3
 UNKNOWN = "und"
 #: A document is rejected if the mean posterior of its language is smaller.
 LEAST_SCORE = 0.4
-#: Words whose scores a worker keeps; words side by side in a block.
+#: Words whose scores, and feature names whose buckets, a worker keeps; words side by side in a block.
 HELD_WORDS = 300_000
+HELD_NAMES = 500_000
 BLOCK = 256
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,16 +63,34 @@ def has_letter(text: str | None) -> bool:
 
 def _word(chunk: str) -> str:
     """The letters of a run between white space; empty if it has none."""
-    return "".join(c for c in "".join(_LETTERS.findall(chunk)) if c.isalpha())
+    if chunk.isalpha():
+        return chunk
+    inner = chunk.strip(".,;:!?\"'()")
+    return inner if inner.isalpha() else "".join([c for c in inner if c.isalpha()])
+
+
+class _Buckets(dict):
+    """Bucket of each feature name; the names met are kept, as trigrams and affixes are few."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > HELD_NAMES:
+            self.clear()
+        bucket = self[name] = zlib.crc32(name.encode()) % BUCKETS
+        return bucket
+
+
+_BUCKET = _Buckets()
 
 
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
     """Buckets of the affix, trigram and lexicon features of a lower-case word."""
     marked = f"^{word}$"
-    names = [f"{kind}{part}" for n in (1, 2, 3, 4) if n <= len(word) for kind, part in (("<", word[:n]), (">", word[-n:]))]
-    names += {marked[k : k + 3] for k in range(len(marked) - 2)}
-    names += [f"lexicon {k}" for k in lexicon.get(word, ())]
-    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
+    names = dict.fromkeys([marked[k : k + 3] for k in range(len(word))])  # in order, so that sums are the same everywhere
+    for n in range(1, min(4, len(word)) + 1):
+        names["<" + word[:n]] = names[">" + word[-n:]] = None
+    if word in lexicon:
+        names.update(dict.fromkeys([f"lexicon {k}" for k in lexicon[word]]))
+    return [_BUCKET[n] for n in names]
 
 
 def _emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, list[int]]) -> np.ndarray:
