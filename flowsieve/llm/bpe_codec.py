@@ -23,8 +23,8 @@ from flowsieve.llm.common import slices, table
 from flowsieve.llm.wordbpe import VOCABULARY, pre_tokens, vocabulary_path
 
 #: Runs between white space in a generation of what a worker keeps, and pairs whose fit it keeps.
-HELD_CHUNKS = 250_000
-HELD_PAIRS = 2_000_000
+HELD_CHUNKS = 100_000
+HELD_PAIRS = 400_000
 _END = "</w>"
 
 
@@ -213,6 +213,7 @@ def _mapped(df: DataFrame, text_col: str, path: str | None, made: Callable, fiel
             out = [made(*x) for x in codec.run(batch.column(place).to_pylist())]
             arrays = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), *arrays], [*kept, *new])
+        codec.old = {}, {}  # what a worker holds between tasks is one generation
 
     return df.mapInArrow(run, schema)
 
