@@ -39,7 +39,7 @@ K = 64
 #: Different contexts of an anchor that are sorted together.
 CROWD = 4096
 #: Bytes of contexts that are sorted at once, unless one anchor has more.
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 600_000
 #: Cuts depend on CUT_BYTES bytes; one place in CUT_RATE is a cut.
 CUT_BYTES, CUT_RATE = 8, 16
 #: Bytes whose hashes are worked out at once; a part's places need to fit in PLACE_BITS.
@@ -108,7 +108,7 @@ def repeats(contexts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.n
     joined = b"".join(contexts)
     data = np.frombuffer(joined, np.uint8)
     n, begins = len(data), ends - sizes
-    which = np.repeat(np.arange(len(sizes)), sizes)
+    which = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     # Hashes of prefixes; a substring's hash is their difference, moved to place 0.
     up = np.full(n + 1, _U(_BASE), _U)
     up[0] = 1
@@ -117,6 +117,7 @@ def repeats(contexts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.n
     down[0] = 1
     down = np.cumprod(down, dtype=_U)
     prefix = np.concatenate((np.zeros(1, _U), np.cumsum(_RANDOM[data] * down[:n], dtype=_U)))
+    del down
     hashed = lambda at, size: (prefix[at + size] - prefix[at]) * up[at]
 
     # Cuts: behind CUT_BYTES bytes whose hash says so, inside one context; and at its end.
