@@ -4,10 +4,12 @@ import collections
 import math
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from flowsieve.llm import quality
+from flowsieve.session import scratch_path
 
 from .conftest import ODD, SF_DIR
 
@@ -68,3 +70,27 @@ def test_odd_rows(spark, clashing):
     got = sorted(((str(r.doc_id), row_of(r)) for r in out.collect()))
     assert got == sorted((str(i), brute(t)) for i, t in [*((i, t) for i, t, *_ in ODD), *((99, t) for (t,) in more)])
     assert quality.judge(df.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.01", 0.08), ("sf0.1", 0.0)])
+def test_threshold_separates_labels(spark, sf, most):
+    """The same rule must part labelled documents on a small and a large table."""
+    sf_dir = SF_DIR.replace("sf0.001", sf)
+    rows = quality.op5_quality_rules(spark, sf_dir).where("NOT base_failed")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    share = dict(rows.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect())
+    assert share[1] >= 0.98 and share[0] <= most
+
+
+def test_held_score_leaves_own_counts_out(spark, texts):
+    df = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 1").select("doc_id")
+    one, *_ = sorted(r.doc_id for r in good.collect() if len((texts[r.doc_id] or "").split()) >= 50)
+
+    def scored(trusted, name):
+        sample, where = quality.trusted_sample(trusted), scratch_path(spark, name)
+        quality.log_ratios(df, sample).write.parquet(where)
+        return quality.rules(df, spark.read.parquet(where), sample).where(F.col("doc_id") == one).first()
+
+    with_it, without = scored(good, "with"), scored(good.where(F.col("doc_id") != one), "without")
+    assert with_it.score > without.score == without._q_held and abs(with_it._q_held - without.score) < 1e-9
