@@ -1,7 +1,9 @@
 """Operator 6, licence scan: sparse TF-IDF cosine to templates, then nearest-ancestor inheritance.
 
-A file's lines and its header (the first HEADER_LINES lines together) are compared with the templates
-as TF-IDF vectors; the weights come from the templates, and a word of none of them has the largest.
+A file's lines, its header (the first HEADER_LINES lines together) and windows of words are compared with
+the templates as TF-IDF vectors; a window has a template's length and lies, whatever line breaks and
+other words stand around it, where a telling word of the text has its place in the template.
+The weights come from the templates, and a word of none of them has the largest.
 The best unit from LEAST_COSINE on gives the file its licence. Only units that hold a telling word are
 compared: a template's other words together are less than LEAST_COSINE of its length, so by the
 Cauchy-Schwarz inequality no other unit can reach it.
@@ -45,6 +47,8 @@ HEADER_LINES = 3
 #: A file of at most so many words beside its notice is a licence file.
 LICENCE_FILE_WORDS = 40
 NONE = "none"
+#: Further forms by licence: a text, and the words of the whole licence that it is the telling part of.
+FORMS: dict[str, list[tuple[str, int]]] = {}
 
 _TOKEN = "[a-z0-9.-]*[a-z0-9]"
 
@@ -77,6 +81,19 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _windows(templates: dict[str, str], forms: dict[str, list[tuple[str, int]]]) -> tuple[dict[str, float], list[dict], dict[str, list[dict]], list[str]]:
+    """Weights, the templates and forms with their vectors, of each telling word its places in them, and these words."""
+    texts = {(name, k): (text, whole) for name in sorted(templates) for k, (text, whole) in enumerate([(templates[name], 0), *forms.get(name, ())])}
+    idf, _, units, telling = _vectors({key: text for key, (text, _) in texts.items()})
+    names, listed, anchors = sorted(templates), [], {}
+    for k, (key, (text, whole)) in enumerate(texts.items()):
+        words = _tokens(text)
+        listed.append({"place": -names.index(key[0]), "whole": max(whole, len(words)), "v": units[key]})
+        for w in set(words) & set(telling):
+            anchors.setdefault(w, []).append({"k": k + 1, "o": words.index(w), "n": len(words)})
+    return idf, listed, anchors, telling
+
+
 def detect(df: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """df without its text, with own_license, cosine and is_license_file.
 
@@ -90,18 +107,31 @@ def detect(df: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     word = "(?i)(?<![a-z0-9.-])(" + "|".join(re.escape(w) for w in telling) + ")(?![a-z0-9])"
     idfs = _literal(idf, "map<string,double>")
     vectors = _literal([{"place": -k, "v": units[n]} for k, n in enumerate(names)], "array<struct<place:int,v:map<string,double>>>")
+    w_idf, w_listed, w_anchors, w_telling = _windows(TEMPLATES if templates is None else templates, FORMS if templates is None else {})
+    w_word = "(?i)(?<![a-z0-9.-])(" + "|".join(re.escape(w) for w in w_telling) + ")(?![a-z0-9])"
+    w_idfs = _literal(w_idf, "map<string,double>")
+    w_vectors = _literal(w_listed, "array<struct<place:int,whole:int,v:map<string,double>>>")
+    anchors = _literal(w_anchors, "map<string,array<struct<k:int,o:int,n:int>>>")
     d = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_l_text"))
     lines = F.split("_l_text", "\n", -1)
     units_in = F.filter(F.concat(lines, F.array(F.array_join(F.slice(lines, 1, HEADER_LINES), " "))), lambda x: x.rlike(word))
     d = d.withColumn("_l_units", F.when(F.col("_l_text").rlike(word), units_in).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_l_tokens", F.transform("_l_units", lambda u: F.regexp_extract_all(F.lower(u), F.lit(f"({_TOKEN})"), F.lit(1))))
-    weight = lambda ts, w: F.size(F.filter(ts, lambda x: x == w)) * F.coalesce(F.element_at(idfs, w), F.lit(other))
-    d = d.withColumn("_l_vectors", F.transform("_l_tokens", lambda ts: F.struct(F.size(ts).alias("n"), F.transform(F.array_distinct(ts), lambda w: F.struct(w.alias("w"), weight(ts, w).alias("x"))).alias("v"))))
+    words_of = lambda u: F.regexp_extract_all(F.lower(u), F.lit(f"({_TOKEN})"), F.lit(1))
+    d = d.withColumn("_l_tokens", F.transform("_l_units", words_of))
+    d = d.withColumn("_l_all", F.when(F.col("_l_text").rlike(w_word), words_of(F.col("_l_text"))).otherwise(F.array().cast("array<string>")))
+    told = F.filter(F.transform("_l_all", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: F.map_contains_key(anchors, e["w"]))
+    window = lambda e, a: F.struct(a["k"].alias("k"), F.slice("_l_all", F.greatest(F.lit(1), e["i"] - a["o"] + 1), a["n"]).alias("ts"))
+    d = d.withColumn("_l_windows", F.array_distinct(F.flatten(F.transform(told, lambda e: F.transform(F.element_at(anchors, e["w"]), lambda a: window(e, a))))))
+    weight = lambda ts, w, of: F.size(F.filter(ts, lambda x: x == w)) * F.coalesce(F.element_at(of, w), F.lit(other))
+    vector = lambda ts, of: F.transform(F.array_distinct(ts), lambda w: F.struct(w.alias("w"), weight(ts, w, of).alias("x")))
+    d = d.withColumn("_l_vectors", F.transform("_l_tokens", lambda ts: F.struct(F.size(ts).alias("n"), vector(ts, idfs).alias("v"))))
+    d = d.withColumn("_l_windows", F.transform("_l_windows", lambda x: F.struct(F.element_at(w_vectors, x["k"]).alias("t"), vector(x["ts"], w_idfs).alias("v"))))
     total = lambda v, of: F.aggregate(v, F.lit(0.0), lambda a, e: a + of(e))
     cosine = lambda u, t: total(u["v"], lambda e: e["x"] * F.coalesce(F.element_at(t["v"], e["w"]), F.lit(0.0))) / F.sqrt(total(u["v"], lambda e: e["x"] * e["x"]))
     # Of equal cosines the largest place is the first name.
     best = F.transform("_l_vectors", lambda u: F.array_max(F.transform(vectors, lambda t: F.struct(F.round(cosine(u, t), 9).alias("cosine"), t["place"].alias("place"), u["n"].alias("words")))))
-    d = d.withColumn("_l_best", F.array_max(best))
+    near = F.transform("_l_windows", lambda u: F.struct(F.round(cosine(u, u["t"]), 9).alias("cosine"), u["t"]["place"].alias("place"), u["t"]["whole"].alias("words")))
+    d = d.withColumn("_l_best", F.array_max(F.concat(best, near)))
     enough = F.coalesce(F.col("_l_best.cosine") >= LEAST_COSINE, F.lit(False))
     words = F.size(F.array_remove(F.split("_l_text", "[\\x20\\x09-\\x0D]+"), ""))
     d = d.withColumn("_l_enough", enough)

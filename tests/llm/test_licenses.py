@@ -75,3 +75,15 @@ def test_odd_rows(clashing):
 def test_plan_has_no_python(spark):
     plan = licenses.op6_license_scan(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notice_among_other_words(spark):
+    prose = "Some words that say nothing of this come first. " * 3
+    texts = {
+        "a": ("Copyright 2024 Example Corp. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        "b": (prose + "Released under the MIT License.", "MIT"),
+        "c": ("#!/bin/sh\n# A tool.\n#\n# This work is licensed\n# under the GNU General\n# Public License,\n# version 3.\n" + prose, "GPL-3.0"),
+        "d": (prose + "The licence of this was released.", "none"),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "name string, text string")
+    assert {r.name: r.own_license for r in licenses.detect(df).collect()} == {k: want for k, (_, want) in texts.items()}
