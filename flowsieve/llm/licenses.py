@@ -47,8 +47,48 @@ HEADER_LINES = 3
 #: A file of at most so many words beside its notice is a licence file.
 LICENCE_FILE_WORDS = 40
 NONE = "none"
+#: Words of a form that windows are laid on.
+FORM_WORDS = 3
 #: Further forms by licence: a text, and the words of the whole licence that it is the telling part of.
-FORMS: dict[str, list[tuple[str, int]]] = {}
+FORMS: dict[str, list[tuple[str, int]]] = {
+    "Apache-2.0": [
+        ("SPDX-License-Identifier: Apache-2.0", 0),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", 85),
+        ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", 1700),
+    ],
+    "BSD-3-Clause": [
+        ("SPDX-License-Identifier: BSD-3-Clause", 0),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", 240),
+    ],
+    "CC-BY-4.0": [("SPDX-License-Identifier: CC-BY-4.0", 0), ("Creative Commons Attribution 4.0 International Public License", 3000)],
+    "CC-BY-NC-4.0": [("SPDX-License-Identifier: CC-BY-NC-4.0", 0), ("Creative Commons Attribution-NonCommercial 4.0 International Public License", 3100)],
+    "CC0-1.0": [
+        ("SPDX-License-Identifier: CC0-1.0", 0),
+        ("The person who associated a work with this deed has dedicated the work to the public domain", 120),
+        ("Creative Commons Legal Code CC0 1.0 Universal", 1100),
+    ],
+    "GPL-3.0": [
+        ("SPDX-License-Identifier: GPL-3.0-only", 0),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", 0),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 120),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", 5800),
+    ],
+    "LGPL-3.0": [
+        ("SPDX-License-Identifier: LGPL-3.0-only", 0),
+        ("SPDX-License-Identifier: LGPL-3.0-or-later", 0),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 120),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", 1300),
+    ],
+    "MIT": [
+        ("SPDX-License-Identifier: MIT", 0),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction,", 180),
+    ],
+    "MPL-2.0": [("SPDX-License-Identifier: MPL-2.0", 0), ("Mozilla Public License Version 2.0 1. Definitions", 2700)],
+    "Unlicense": [
+        ("SPDX-License-Identifier: Unlicense", 0),
+        ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", 220),
+    ],
+}
 
 _TOKEN = "[a-z0-9.-]*[a-z0-9]"
 
@@ -84,14 +124,17 @@ def _literal(value, kind: str) -> Column:
 def _windows(templates: dict[str, str], forms: dict[str, list[tuple[str, int]]]) -> tuple[dict[str, float], list[dict], dict[str, list[dict]], list[str]]:
     """Weights, the templates and forms with their vectors, of each telling word its places in them, and these words."""
     texts = {(name, k): (text, whole) for name in sorted(templates) for k, (text, whole) in enumerate([(templates[name], 0), *forms.get(name, ())])}
-    idf, _, units, telling = _vectors({key: text for key, (text, _) in texts.items()})
+    idf, _, units, _ = _vectors({key: text for key, (text, _) in texts.items()})
+    notices = set(_vectors(templates)[3])
     names, listed, anchors = sorted(templates), [], {}
     for k, (key, (text, whole)) in enumerate(texts.items()):
         words = _tokens(text)
         listed.append({"place": -names.index(key[0]), "whole": max(whole, len(words)), "v": units[key]})
-        for w in set(words) & set(telling):
+        # Forms are long, and many of their words are frequent: the rarest of them have to do.
+        rarest = sorted(set(words) - COMMON, key=lambda w: (-idf[w], -len(w), w))[:FORM_WORDS]
+        for w in rarest if key[1] else sorted(set(words) & notices):
             anchors.setdefault(w, []).append({"k": k + 1, "o": words.index(w), "n": len(words)})
-    return idf, listed, anchors, telling
+    return idf, listed, anchors, sorted(anchors)
 
 
 def detect(df: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
