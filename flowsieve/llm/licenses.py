@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import table
+from flowsieve.session import scratch_path
 
 # Short notices by licence.
 TEMPLATES = {
@@ -49,7 +50,7 @@ LICENCE_FILE_WORDS = 40
 NONE = "none"
 #: Words of a form that windows are laid on.
 FORM_WORDS = 3
-#: Further forms by licence: a text, and the words of the whole licence that it is the telling part of.
+# Further forms by licence: a text, and the words of the whole licence that it is the telling part of.
 FORMS: dict[str, list[tuple[str, int]]] = {
     "Apache-2.0": [
         ("SPDX-License-Identifier: Apache-2.0", 0),
@@ -212,7 +213,10 @@ def inherit(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def scan(df: DataFrame, text_col: str = "text", path_col: str = "path", templates: dict[str, str] | None = None) -> DataFrame:
-    return inherit(detect(df, text_col, templates), path_col)
+    """detect(), written once without the texts, then inherit(): as many rows as df, which may be empty."""
+    where = scratch_path(df.sparkSession, "licences")
+    detect(df, text_col, templates).write.parquet(where)
+    return inherit(df.sparkSession.read.parquet(where), path_col)
 
 
 def op6_license_scan(spark, sf_dir) -> DataFrame:

@@ -16,9 +16,10 @@ from tokenizers import Tokenizer
 #: Name of the default vocabulary among the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: Texts of these code points only are already in NFC, and their lower-case forms and classes
-#: are the same in every Unicode version; U+0130 becomes two code points and is left out.
+#: are the same in every Unicode version. Left out: U+0130, which becomes two code points, and the
+#: capitals whose lower case is beyond the limit.
 PLAIN_LIMIT = 0x250
-_PLAIN = [c for c in map(chr, range(PLAIN_LIMIT)) if not "\x1c" <= c <= "\x1f" and c != "İ"]
+_PLAIN = [c for c in map(chr, range(PLAIN_LIMIT)) if not "\x1c" <= c <= "\x1f" and len(c.lower()) == 1 and ord(c.lower()) < PLAIN_LIMIT]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,6 +39,11 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Encodes pre-tokens, which are normal already: to normalise one again can change it.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
         #: Added tokens, found in the raw text before anything else.
@@ -80,7 +86,7 @@ class PreTokens:
 
     def n_pieces(self, words: list[str]) -> list[int]:
         """Pieces of each distinct pre-token."""
-        return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [len(e) for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)

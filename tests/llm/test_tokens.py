@@ -28,6 +28,24 @@ def test_any_text_is_encoded_as_the_library_does(text):
     assert said == LIBRARY.decode(ids_of(text), skip_special_tokens=False)
 
 
+def test_every_code_point_alone_and_in_words():
+    """Alone, between letters, before a combining mark and doubled; the count of pieces likewise."""
+    cut, codec = pre_tokens(vocabulary_path()), bpe_codec._codec(vocabulary_path())
+    points = [chr(c) for c in range(0x3400) if not 0xD800 <= c < 0xE000]
+    for form in ("{0}", "a{0}b", "{0}\u0317", "E{0} {0}{0}s"):
+        texts = [form.format(c) for c in points]
+        want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        for text, ids, (got, _) in zip(texts, want, codec.run(texts), strict=True):
+            assert got == " ".join(map(str, ids)), ascii(text)
+            assert sum(cut.n_pieces(cut(text))) == len(ids), ascii(text)
+
+
+def test_capitals_whose_lower_case_is_far_away():
+    texts = [w for c in "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ" for w in (f"{c}srin", f"K{c}ND", f"x{c}{c} a")]
+    for text, (got, _) in zip(texts, bpe_codec._codec(vocabulary_path()).run(texts), strict=True):
+        assert got == " ".join(map(str, ids_of(text)))
+
+
 def test_words_that_share_prefixes_and_endings():
     draw = random.Random(4)
     words = {"".join(draw.choice("abehtinrsox") for _ in range(draw.randrange(1, 25))) for _ in range(3000)}
