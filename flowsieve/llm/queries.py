@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_decontamination": "decontaminate",
     "op9_bpe_codec": "bpe_codec",
     "op10_language_id": "langid",
+    "op11_line_dedup": "line_dedup",
 }
 
 
