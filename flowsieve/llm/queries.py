@@ -20,6 +20,7 @@ OPERATORS = {
     "op9_bpe_codec": "bpe_codec",
     "op10_language_id": "langid",
     "op11_line_dedup": "line_dedup",
+    "op12_tokenizer_alignment": "alignment",
     "op13_ranked_search": "search",
 }
 
