@@ -225,7 +225,9 @@ def _kept(kept: int) -> Callable:
                     dropped[k] = end - at - len(stay)
                     texts[k], at = "\n".join(stay), end
                 text = pa.array(texts, pa.string())
-            text = pc.if_else(given.is_valid(), text.cast(pa.string()), pa.scalar(None, pa.string()))
+            text = text.cast(pa.string())
+            if given.null_count:
+                text = pa.array([t if had else None for t, had in zip(text.to_pylist(), given.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(2 + k) for k in range(kept)), text, n.cast(pa.int64()), pa.array(dropped)], names=[f"c{k}" for k in range(kept + 3)])
 
     return run
@@ -263,7 +265,8 @@ def clean(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_c
     """
     spark = df.sparkSession
     where = scratch_path(spark, "long-lines")
-    cuts = sorted({c for c in df.select(F.col(id_col).cast("long").alias("doc")).approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01) if c is not None}, reverse=True)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(df.select(F.col(id_col).cast("long").alias("doc")).approxQuantile("doc", shares, 0.01)), reverse=True) if shares else []
     number = F.lit(len(cuts))
     for k, cut in reversed(list(enumerate(cuts))):
         number = F.when(F.col("doc") > cut, k).otherwise(number)

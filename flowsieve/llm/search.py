@@ -76,7 +76,7 @@ def _shard_rows(shard: int, ids: list[int | None], lengths: np.ndarray, doc: np.
     doc, term, freq = place[doc][at], term[at], freq[at]
     starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.empty(0, np.int64)
     rows = [(shard, _HEADER, int((lengths > 0).sum()), int(lengths.sum()), None, None, None, None, lengths[order].astype("<i8").tobytes(), [ids[k] for k in order.tolist()])]
-    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(term)], strict=True):
+    for start, end in zip(starts.tolist(), np.append(starts, len(term))[1:].tolist(), strict=True):
         cuts = [*range(start, end, BLOCK), end]
         blocks = [_packed(doc[a:b], freq[a:b]) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
         first, last = doc[cuts[:-1]], doc[np.array(cuts[1:]) - 1]
