@@ -15,8 +15,11 @@ from flowsieve.schema import TRAFFIC_LOG
 from flowsieve.session import pinned, scratch_path
 from flowsieve.sources.store import FlowStore
 from flowsieve.streaming.ingest import ACCOUNTING, recent_history, start_ingest
-from flowsieve.streaming.rollup import first_predictions_within, streaming_minutes
+from flowsieve.streaming.burst import state_store, streaming_bursts
+from flowsieve.streaming.rollup import first_predictions_within, streaming_minutes, streaming_minutes_exact
 
+#: Files of a batch.
+FILES = 4
 NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)
 
 # Trailing bursts: the stored rows are all there is once the stream has ended.
@@ -110,6 +113,35 @@ def burst_with_history(spark, sf):
     return counted.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("burst_count").alias("bursts"))
 
 
+@register(
+    "l04_burst_on_stream",
+    with_ctes(
+        _STREAMED,
+        """SELECT src_ip, count(*) AS n, CAST(sum(n) AS BIGINT) AS bursts, max(n) AS most FROM bursts
+           WHERE (ts_us // 30000000 + 1) * 30000000 <= (SELECT max(ts_us) FROM fl) // 1000 * 1000 - 60000000 GROUP BY 1""",
+    ),
+)
+def burst_on_stream(spark, sf):
+    """Four batches, the second holding the first's flows again: the state's counts of closed blocks, without a store."""
+    from flowsieve.sources import packets
+
+    parsed = packets.ip_packets(packets.packet_fields(pinned(fixtures.packet_lines(spark, sf))))
+    f = packets.packet_flows(parsed, F.lit(NOW), keep=("id",)).where("src_ip <> '8.8.4.3'").select("id", "src_ip", "timestamp")
+    root = scratch_path(spark, "bursts")
+    # Quarters of the time line, each a batch of a few files; flows delivered again are late or counted already.
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("timestamp") - F.lit(fixtures.ORIGIN_US)) / F.lit(6_480_000_000)).cast("int"))
+    dealt = pinned(f.withColumn("part", quarter))
+    for part in range(4):
+        dealt.where(F.col("part").isin(part, 0) if part == 1 else F.col("part") == part).drop("part").repartition(FILES, "id").write.parquet(f"{root}/in/{part}")
+    flows = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    with state_store(spark):
+        counted = streaming_bursts(flows, "1 minute")
+        query = counted.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n"), F.sum("burst_count").alias("bursts"), F.max("burst_count").alias("most"))
+
+
 _JSON_COUNTS = _JSON + """,
 r AS (SELECT CASE WHEN id % 50 = 49 THEN 1 ELSE 0 END AS payload, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS copies, k % 11 = 0 AS bad, src_ip
   FROM flows)
@@ -141,14 +173,15 @@ def stream_retention(spark, sf):
     return spark.createDataFrame([(gone, orphans, 1 <= kept < 4)], "purged boolean, cascaded boolean, fits boolean")
 
 
-@register("l05_streaming_minutes", with_ctes(_ROLLUP, "SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled WHERE minute_s + 60 <= (SELECT max(t) - 60 FROM log)"))
-def stream_minutes(spark, sf):
-    """Minutes closed by the watermark; the last two stay open."""
+_CLOSED = "WHERE minute_s + 60 <= (SELECT max(t) - 60 FROM log)"
+
+
+def _closed_minutes(spark, sf, rolled):
     root = scratch_path(spark, "minutes")
     fixtures.traffic_log(spark, sf).write.csv(f"{root}/in")
     log = spark.readStream.schema(TRAFFIC_LOG).csv(f"{root}/in")
     query = (
-        streaming_minutes(log, "1 minute")
+        rolled(log, "1 minute")
         .writeStream.format("parquet")
         .option("path", f"{root}/out")
         .option("checkpointLocation", f"{root}/state")
@@ -158,22 +191,37 @@ def stream_minutes(spark, sf):
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         F.unix_seconds("minute").alias("minute_s"),
+        "n_flows",
         "n_packets",
         F.col("n_bytes").cast("bigint").alias("n_bytes"),
         fixed(F.col("avg_duration")).alias("span_fx"),
+        "n_dest_ports",
+        "n_dest_ip",
         fixed(F.col("tcp_udp_ratio_packets")).alias("packets_fx"),
         fixed(F.col("dir_ratio_bytes")).alias("bytes_fx"),
     )
 
 
+@register("l05_streaming_minutes", with_ctes(_ROLLUP, f"SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled {_CLOSED}"))
+def stream_minutes(spark, sf):
+    """Minutes closed by the watermark; the last two stay open."""
+    return _closed_minutes(spark, sf, streaming_minutes).drop("n_flows", "n_dest_ports", "n_dest_ip")
+
+
+@register("l05_streaming_minutes_exact", with_ctes(_ROLLUP, f"SELECT minute_s, n_flows, n_packets, n_bytes, span_fx, n_dest_ports, n_dest_ip, packets_fx, bytes_fx FROM rolled {_CLOSED}"))
+def stream_minutes_exact(spark, sf):
+    """Closed minutes with their exact distinct counts, as the batch rollup has them."""
+    return _closed_minutes(spark, sf, streaming_minutes_exact)
+
+
 @register("l06_first_predictions_stream", with_ctes(PREDICTIONS, "SELECT flow_id, min(id) AS id FROM predictions GROUP BY 1"))
 def first_predictions_stream(spark, sf):
     """Later predictions of a flow come in a later file; the first one stays."""
     root = scratch_path(spark, "firsts")
     p = fixtures.predictions(spark, sf)
-    for part in (p.where("id < 100000000"), p.where("id >= 100000000")):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    rows = spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    for k, part in enumerate((p.where("id < 100000000"), p.where("id >= 100000000"))):
+        part.repartition(FILES, "id").write.parquet(f"{root}/in/{k}")
+    rows = spark.readStream.schema(PREDICTION_SCHEMA).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(f"{root}/in")
     query = (
         first_predictions_within(rows)
         .writeStream.format("parquet")
