@@ -23,6 +23,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,10 @@ B_VOCABULARY = "piece_bpe_32k.model"
 BLOCK_DOCS = 4096
 _PLACE_BITS = 12
 #: A block ends early with so many (pair, document) entries.
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 1_000_000
 #: Distinct pieces, and their bytes, that a worker keeps.
-HELD_PIECES = 300_000
-HELD_BYTES = 60_000_000
+HELD_PIECES = 150_000
+HELD_BYTES = 30_000_000
 #: Least share of all (pair, document) entries that makes a pair a heavy hitter.
 SHARE = 1 / 500_000
 #: Blocks whose documents' sums a task holds.
@@ -73,6 +74,11 @@ class Aligner:
         self.lone = names.index("▁")
         if any("▁" in t.lstrip("▁") for t in names):
             raise ValueError("a piece of the B vocabulary has a space inside")
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)))
+        for i, t in self.a_bytes.items():
+            self.a_sizes[i] = len(t)
+        #: Ids as written inside a group and at the end of their part of it: A's, then B's.
+        self.written = [f"{i}{end}" for i in range(len(self.a_sizes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_sizes)) for end in ",;"]
         self.pieces_of = re.compile(r" (?<=\S )").split
         self._forget()
 
@@ -84,43 +90,45 @@ class Aligner:
         self.sizes = array("q", [0] * 4)  # A tokens, B tokens, groups, links
         self.starts, self.links = array("q", [0, 0]), array("q")
 
-    def _walk(self, a: list[int], b: list[int]) -> None:
-        """Groups and links of one piece."""
-        a_bytes, b_bytes, links = self.a_bytes, self.b_bytes, self.links
-        groups, of_a, of_b, j, x, y = [], [], [], 0, 0, 0
-        for i in a:
-            of_a.append(i)
-            if y > x:
-                links.append(i << 32 | b[j - 1])
-            x += len(a_bytes[i])
-            while y < x:
-                links.append(i << 32 | b[j])
-                of_b.append(b[j])
-                y += len(b_bytes[b[j]])
-                j += 1
-            if x == y:
-                groups.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-                of_a, of_b = [], []
-        self.sizes.extend((len(a), len(b), len(groups), len(links) - self.starts[-1]))
-        self.starts.append(len(links))
-        self.said.append(";".join(groups))
+    def _joined(self, pieces: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> None:
+        """Keeps what pieces come to whose bytes are those of their A tokens and of their B tokens: all together, as one run of bytes."""
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (of_a, of_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b))
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        # Each token is written with what follows it: that depends on its being the last of its group.
+        code = np.concatenate([a * 2 + (np.diff(group_a, append=-1) != 0), 2 * len(self.a_sizes) + b * 2 + (np.diff(group_b, append=-1) != 0)])
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        written = list(map(self.written.__getitem__, code[order].tolist()))
+        ends = np.cumsum(n_a + n_b)
+        self.said += ["".join(written[i:j])[:-1] for i, j in zip((ends - n_a - n_b).tolist(), ends.tolist(), strict=True)]
+        # Between two neighbouring ends of either kind lies one link.
+        either = np.union1d(ends_a, ends_b)
+        links = a[np.searchsorted(ends_a, either)] << 32 | b[np.searchsorted(ends_b, either)]
+        n_groups = np.bincount(np.searchsorted(ends_a[np.cumsum(n_a) - 1], cuts), minlength=len(pieces))
+        n_links = n_a + n_b - n_groups
+        self.known.update(zip(pieces, range(len(self.said) - len(pieces), len(self.said)), strict=True))
+        self.sizes.frombytes(np.column_stack([n_a, n_b, n_groups, n_links]).astype(np.int64).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(n_links)).tobytes())
+        self.links.frombytes(links.tobytes())
 
     def learn(self, pieces: set[str]) -> None:
         if len(self.said) > HELD_PIECES or self.held > HELD_BYTES:
             self._forget()
         new = list(pieces.difference(self.known))
-        if not new:
-            return
-        of_a = self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)
-        of_b = self.b.encode(new, num_threads=1)
-        for piece, a, b in zip(new, of_a, of_b, strict=True):
-            a, b, text = a.ids, b or [self.lone], b" " + piece.encode()
-            self.held += len(text)
-            if b"".join([self.a_bytes[i] for i in a]) == text == b"".join([self.b_bytes[i] for i in b]):
-                self.known[piece] = len(self.said)
-                self._walk(a, b)
-            else:
-                self.known[piece] = 0
+        of_a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
+        of_b = [ids or [self.lone] for ids in self.b.encode(new, num_threads=1)]
+        texts = [b" " + p.encode() for p in new]
+        self.held += sum(map(len, texts))
+        spelt = lambda ids, of: b"".join(map(of.__getitem__, ids))
+        whole = b"".join(texts)
+        if not spelt(chain.from_iterable(of_a), self.a_bytes) == whole == spelt(chain.from_iterable(of_b), self.b_bytes):
+            good = [spelt(a, self.a_bytes) == t == spelt(b, self.b_bytes) for t, a, b in zip(texts, of_a, of_b, strict=True)]
+            self.known.update((p, 0) for p, ok in zip(new, good, strict=True) if not ok)
+            new, of_a, of_b = ([x for x, ok in zip(xs, good, strict=True) if ok] for xs in (new, of_a, of_b))
+        if new:
+            self._joined(new, of_a, of_b)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text the numbers of A tokens, B tokens, groups and links, and its groups as written; and the row and pair of each link."""
