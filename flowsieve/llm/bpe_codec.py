@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from flowsieve.llm.common import slices, table
 from flowsieve.llm.wordbpe import VOCABULARY, pre_tokens, vocabulary_path
 
-#: Runs between white space in a generation of what a worker keeps, and pairs whose fit it keeps.
-HELD_CHUNKS = 100_000
-HELD_PAIRS = 400_000
+#: Runs between white space, and words, in a generation of what a worker keeps, and pairs whose fit it keeps.
+HELD_CHUNKS = 150_000
+HELD_PAIRS = 1_000_000
+#: Last bytes of a path that tell which tokens may end it.
+NEAR = 4
 _END = "</w>"
 
 
@@ -66,18 +68,28 @@ class TrieEncoder:
             text = name[: -len(_END)] if ends else name
             if all(c in back for c in text) and (token not in self.parts or self.stays_apart(*self.parts[token], rank[token])):
                 (self.final if ends else self.inner)[bytes(back[c] for c in text)] = token
-        self.by_ending = {id(d): self._by_ending(d) for d in (self.inner, self.final)}
+        #: Of tokens inside and at the end of words: the lengths over NEAR by the last NEAR bytes, and what
+        #: may end a path by its last NEAR bytes, as far as it was asked for.
+        self.longer = [self._longer(d) for d in (self.inner, self.final)]
+        self.endings: list[dict[bytes, list[tuple[int, int | None]]]] = [{}, {}]
         self.size = {t: len(w) for d in (self.inner, self.final) for w, t in d.items()}
         self.fits: dict[tuple[int, int], bool] = {}
 
     @staticmethod
-    def _by_ending(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
-        """By the last three bytes of a path, the lengths of the tokens that may end it."""
+    def _longer(tokens: dict[bytes, int]) -> dict[bytes, list[int]]:
         lengths: dict[bytes, set[int]] = {}
         for w in tokens:
-            if len(w) > 2:
-                lengths.setdefault(w[-3:], {2, 1}).add(len(w))
-        return {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
+            if len(w) > NEAR:
+                lengths.setdefault(w[-NEAR:], set()).add(len(w))
+        return {end: sorted(n, reverse=True) for end, n in lengths.items()}
+
+    def _ending(self, final: int, end: bytes) -> list[tuple[int, int | None]]:
+        """The sizes of the tokens that may end a path with these last bytes, longest first, and the tokens that this tells."""
+        tokens = (self.inner, self.final)[final]
+        found = [(n, None) for n in self.longer[final].get(end, ())]
+        found += [(n, tokens[end[-n:]]) for n in range(len(end), 0, -1) if end[-n:] in tokens]
+        self.endings[final][end] = found
+        return found
 
     def stays_apart(self, left: int, right: int, limit: int | None = None) -> bool:
         """Whether the merges leave these neighbours apart (before merge number `limit`, if given).
@@ -99,28 +111,30 @@ class TrieEncoder:
             else:
                 limit, right = b + 1, self.parts[right][0]
 
-    def _last(self, tokens: dict[bytes, int], path: bytes, states: list[int], depth: int) -> int:
+    def _last(self, final: int, path: bytes, states: list[int], depth: int) -> int:
         """The last token of the encoding of path[:depth]; states[d] is that of path[:d]."""
-        for size in self.by_ending[id(tokens)].get(path[max(0, depth - 3) : depth], (2, 1)):
+        end = path[depth - NEAR : depth] if depth >= NEAR else path[:depth]
+        fits, tokens = self.fits, self.final if final else self.inner
+        for size, token in self.endings[final].get(end) or self._ending(final, end):
             start = depth - size
-            if start >= 0:
-                token = tokens.get(path[start:depth])
-                if token is not None:
-                    if not start:
-                        return token
-                    pair = (states[start], token)
-                    fit = self.fits.get(pair)
-                    if fit is None:
-                        fit = self.fits[pair] = self.stays_apart(*pair)
-                    if fit:
-                        return token
+            if start < 0 or (token is None and (token := tokens.get(path[start:depth])) is None):
+                continue
+            if not start:
+                return token
+            pair = (states[start], token)
+            if pair not in fits:
+                fits[pair] = self.stays_apart(*pair)
+            if fits[pair]:
+                return token
         raise ValueError("a byte has no token")
 
     def encode(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of sorted distinct words, in their order."""
         if len(self.fits) > HELD_PAIRS:
             self.fits.clear()
-        size = self.size
+        if sum(map(len, self.endings)) > HELD_PAIRS:
+            self.endings = [{}, {}]
+        size, last = self.size, self._last
         before, states = b"", [-1]
         for word in words:
             inside, same, most = len(word) - 1, 0, min(len(before), len(word) - 1, len(states) - 1)
@@ -128,8 +142,8 @@ class TrieEncoder:
                 same += 1
             del states[same + 1 :]
             for depth in range(same + 1, inside + 1):
-                states.append(self._last(self.inner, word, states, depth))
-            out = [self._last(self.final, word, states, len(word))]
+                states.append(last(0, word, states, depth))
+            out = [last(1, word, states, len(word))]
             depth = len(word) - size[out[0]]
             while depth:
                 out.append(states[depth])
@@ -139,19 +153,26 @@ class TrieEncoder:
 
 
 class Codec:
-    """Encodes and decodes texts. Runs between white space are kept from batch to batch, in two generations."""
+    """Encodes and decodes texts. Runs between white space and their words are kept from batch to batch, in two generations."""
 
     def __init__(self, path: str):
         self.trie = TrieEncoder(path)
         self.cut = self.trie.cut
         self.ids: dict[str, str] = {}
         self.said: dict[str, str] = {}
-        self.old: tuple[dict[str, str], dict[str, str]] = {}, {}
+        #: Of words that stand in runs with others: ids and tokens.
+        self.words: dict[str, tuple[str, str]] = {}
+        self.old: tuple[dict[str, str], dict[str, str], dict[str, tuple[str, str]]] = {}, {}, {}
+
+    def forget(self) -> None:
+        """Drops the elder generation."""
+        self.old = {}, {}, {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.ids) > HELD_CHUNKS:
-            self.old, self.ids, self.said = (self.ids, self.said), {}, {}
-        ids, said, (old_ids, old_said) = self.ids, self.said, self.old
+        if len(self.ids) > HELD_CHUNKS or len(self.words) > HELD_CHUNKS:
+            self.old = self.ids, self.said, self.words
+            self.ids, self.said, self.words = {}, {}, {}
+        ids, said, kept, (old_ids, old_said, old_words) = self.ids, self.said, self.words, self.old
         new = {}
         for chunk in set().union(*texts).difference(ids):
             if chunk in old_ids:
@@ -159,13 +180,22 @@ class Codec:
             else:
                 new[chunk] = self.cut.words(chunk)
         added, names = self.cut.added, self.trie.names
-        words = sorted((w.encode(), w) for w in set().union(*new.values()) if w not in added)
-        made = {w: [i] for w, i in added.items()}
-        made.update(zip((w for _, w in words), self.trie.encode([w for w, _ in words]), strict=True))
+        made = {w: (str(i), names[i]) for w, i in added.items()}
+        for w in (every := set().union(*new.values()).difference(made)):
+            known = kept.get(w) or old_words.get(w) or (ids.get(w) and (ids[w], said[w]))
+            if known:
+                made[w] = known
+        words = sorted((w.encode(), w) for w in every if w not in made)
+        for (_, w), tokens in zip(words, self.trie.encode([w for w, _ in words]), strict=True):
+            made[w] = " ".join(map(str, tokens)), " ".join([names[i] for i in tokens])
         for chunk, parts in new.items():
-            tokens = made[parts[0]] if len(parts) == 1 else [i for w in parts for i in made[w]]
-            ids[chunk] = " ".join(map(str, tokens))
-            said[chunk] = " ".join([names[i] for i in tokens])
+            if len(parts) == 1:
+                ids[chunk], said[chunk] = made[parts[0]]
+            else:
+                found = [made[w] for w in parts]
+                ids[chunk], said[chunk] = " ".join([i for i, _ in found]), " ".join([t for _, t in found])
+                # A word that ends a sentence here stands alone elsewhere, or in another such run.
+                kept.update(zip(parts, found, strict=True))
 
     def run(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
         """Of each text the ids, and the decoded text, both joined by spaces (the vocabulary has no decoder)."""
@@ -213,7 +243,7 @@ def _mapped(df: DataFrame, text_col: str, path: str | None, made: Callable, fiel
             out = [made(*x) for x in codec.run(batch.column(place).to_pylist())]
             arrays = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), *arrays], [*kept, *new])
-        codec.old = {}, {}  # what a worker holds between tasks is one generation
+        codec.forget()  # what a worker holds between tasks is one generation
 
     return df.mapInArrow(run, schema)
 
