@@ -7,15 +7,16 @@ discriminant and the projection over two columns have closed forms and are compa
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowsieve import fixtures
-from flowsieve.catalog.base import FLOWS, register, with_ctes
+from flowsieve.catalog.base import FLOWS, fixed, q_fixed, register, with_ctes
 from flowsieve.catalog.prep import SERIES_SQL
 from flowsieve.catalog.serving import stored_flows
 from flowsieve.functions.scores import CLASS_LABELS, threshold_label
+from flowsieve.models import boosting, ensemble, linear, outliers, trees, validation
 from flowsieve.models import detector as det
-from flowsieve.models import ensemble, linear, outliers, validation
 from flowsieve.operators import evaluation, ordered, rollup, sampling
 from flowsieve.plans.features import FEATURE_COLUMNS, feature_vector
 from flowsieve.plans.pipeline import choose_scorer
@@ -114,7 +115,7 @@ def _ensemble(spark, sf, **forest):
     columns = list(FEATURE_COLUMNS)
     return {
         "forest": ensemble.train_class_forest(rows, columns, **forest),
-        "booster": ensemble.train_attack_booster(rows, columns, maxIter=QUERY_ROUNDS),
+        "booster": ensemble.train_attack_booster(rows, columns, rounds=QUERY_ROUNDS),
     }
 
 
@@ -128,6 +129,96 @@ def train_ensemble(spark, sf):
     return _well_formed(ensemble.score_flows(stored_flows(spark, sf), _ensemble(spark, sf)))
 
 
+_TREE_COLUMNS = ["bytes", "dst_port", "k", "user_id"]
+
+
+def _given_trees():
+    """Two trees of three classes, and two that add up to log odds."""
+    table = lambda rows: [np.array(c) for c in zip(*rows, strict=True)]
+    leaf = (trees.LEAF, 0.0, 0)
+    f = table([(0, 15000.0, 2), (1, 1024.0, 6), (2, 20.0, 4), leaf, leaf, leaf, leaf, leaf])
+    counts = np.array([[0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 4], [3, 1, 0], [1, 1, 2], [2, 2, 0], [1, 0, 3]], float)
+    b = table([(0, 8000.0, 2), (2, 30.0, 6), leaf, (3, 50.0, 4), leaf, leaf, leaf, leaf])
+    weights = np.array([0, 0, -0.4, 0, 0.3, 0.9, 0.2, -0.1])[:, None]
+    roots = np.array([0, 1])
+    return trees.CutForest(roots, *f, counts, 4), boosting.BoostedCuts(roots, *b, weights, 4)
+
+
+@register(
+    "j03_j04_scores_of_given_trees",
+    with_ctes(
+        FLOWS,
+        f"""SELECT id, {q_fixed('(t[1] + u[1]) / 2')} AS p0_fx, {q_fixed('(t[2] + u[2]) / 2')} AS p1_fx, {q_fixed('(t[3] + u[3]) / 2')} AS p2_fx,
+              {q_fixed('1 / (1 + exp(-(a + b)))')} AS attack_fx
+            FROM (SELECT id, CASE WHEN bytes > 15000 THEN [0.0, 0.0, 1.0] WHEN k <= 20 THEN [0.75, 0.25, 0.0] ELSE [0.25, 0.25, 0.5] END::DOUBLE[] AS t,
+              CASE WHEN dst_port <= 1024 THEN [0.5, 0.5, 0.0] ELSE [0.25, 0.0, 0.75] END::DOUBLE[] AS u,
+              CASE WHEN bytes <= 8000 THEN -0.4 WHEN user_id <= 50 THEN 0.3 ELSE 0.9 END::DOUBLE AS a, CASE WHEN k <= 30 THEN 0.2 ELSE -0.1 END::DOUBLE AS b FROM flows)""",
+    ),
+)
+def scores_of_given_trees(spark, sf):
+    """Flows scored by stated trees, saved and loaded before."""
+    scored, path = fixtures.flow_columns(spark, sf), scratch_path(spark, "given")
+    ensemble.save_ensemble(spark, dict(zip(("forest", "booster"), _given_trees(), strict=True)), path)
+    for name in ("forest", "booster"):
+        scored, _ = ensemble.load_member(spark, path, name).with_probabilities(scored, _TREE_COLUMNS, name)
+    return scored.select("id", *(fixed(F.col("forest")[c]).alias(f"p{c}_fx") for c in range(3)), fixed(F.col("booster")[1]).alias("attack_fx"))
+
+
+_KIND = "CASE WHEN service = 'portscan' THEN 2 WHEN bytes > 15000 THEN 1 ELSE 0 END"
+
+
+@register(
+    "j03_random_cut_roots",
+    with_ctes(
+        FLOWS
+        + f""",
+d AS (SELECT {_KIND} AS y, unnest([0, 1, 2, 3]) AS f, unnest([bytes, dst_port, k, user_id])::DOUBLE AS v FROM flows),
+bounds AS (SELECT f, min(v) AS lo, max(v) AS hi FROM d GROUP BY 1),
+drawn AS (SELECT tree, f, m, row_number() OVER (PARTITION BY tree ORDER BY m) AS place
+  FROM (SELECT tree, f, md5(concat('9:', tree, ':1:', f)) AS m FROM range(120) t(tree), range(4) g(f))),
+cuts AS (SELECT tree, f, place, lo + (CAST(concat('0x', substr(m, 17, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE) * (hi - lo) AS cut
+  FROM drawn JOIN bounds USING (f) WHERE place <= 2 AND hi > lo),
+counts AS (SELECT tree, f, place, cut, y, count(*) FILTER (v <= cut)::DOUBLE AS under, count(*) FILTER (v > cut)::DOUBLE AS over
+  FROM cuts JOIN d USING (f) GROUP BY ALL),
+purity AS (SELECT tree, f, place, cut, sum(under) AS under, sum(under * under) / sum(under) + sum(over * over) / sum(over) AS purity FROM counts GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY purity DESC, place) AS rank FROM purity)""",
+        "SELECT tree::INT AS tree, f::INT AS feature, CAST(floor(cut * 1e6 + 0.5) AS BIGINT) AS cut_fx, under::BIGINT AS under FROM best WHERE rank = 1",
+    ),
+)
+def random_cut_roots(spark, sf):
+    """The first cut of 120 trees over four columns: the drawn features, the cuts between their bounds, and the purer one."""
+    flows = fixtures.flow_columns(spark, sf).select(F.expr(_KIND).alias("y"), *_TREE_COLUMNS)
+    forest = trees.fit_random_cuts(flows, _TREE_COLUMNS, "y", depth=1, seed=9)
+    rows = [(t, int(forest.feature[t]), int(np.floor(forest.cut[t] * 1e6 + 0.5)), int(forest.value[forest.left[t]].sum())) for t in forest.roots.tolist()]
+    return spark.createDataFrame(rows, "tree int, feature int, cut_fx long, under long")
+
+
+_STUMP_LABEL = "(k % 50 < 20) <> (bytes % 3 = 0)"
+
+
+@register(
+    "j04_first_boosted_tree",
+    with_ctes(
+        FLOWS
+        + f""",
+d AS (SELECT CASE WHEN {_STUMP_LABEL} THEN 1 ELSE 0 END AS y, unnest([0, 1]) AS f, unnest([k % 50, user_id % 97])::BIGINT AS v FROM flows),
+bins AS (SELECT f, v, sum(0.5::DOUBLE - y) AS g, sum(0.25::DOUBLE) AS h FROM d GROUP BY ALL),
+sums AS (SELECT f, v, sum(g) OVER (PARTITION BY f ORDER BY v) AS lg, sum(h) OVER (PARTITION BY f ORDER BY v) AS lh,
+  sum(g) OVER (PARTITION BY f) AS tg, sum(h) OVER (PARTITION BY f) AS th FROM bins),
+best AS (SELECT *, lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1) AS gain FROM sums WHERE lh >= 1 AND th - lh >= 1)""",
+        f"""SELECT f::INT AS feature, v AS cut, {q_fixed('-lg / (lh + 1) * 0.1')} AS left_fx, {q_fixed('-(tg - lg) / (th - lh + 1) * 0.1')} AS right_fx
+            FROM best ORDER BY gain DESC, f, v LIMIT 1""",
+    ),
+)
+def first_boosted_tree(spark, sf):
+    """A stump over two columns binned at all their values: the cut of largest gain, and the weights of its leaves."""
+    flows = fixtures.flow_columns(spark, sf).selectExpr(f"CASE WHEN {_STUMP_LABEL} THEN 1 ELSE 0 END AS y", "k % 50 AS a", "user_id % 97 AS b")
+    bins = [np.arange(50.0), np.arange(97.0)]
+    model = boosting.fit_boosted(flows, ["a", "b"], "y", rounds=1, depth=1, row_share=1.0, column_share=1.0, bins=bins)
+    weight = lambda side: int(np.floor(model.value[model.left[0] + side, 0] * 1e9 + 0.5))
+    return spark.createDataFrame([(int(model.feature[0]), int(model.cut[0]), weight(0), weight(1))], "feature int, cut long, left_fx long, right_fx long")
+
+
 @register(
     "j07_choose_scorer",
     with_ctes(FLOWS, "SELECT mode, count(*) AS scored FROM flows, (VALUES ('ensemble'), ('detector'), ('heuristic')) v(mode) GROUP BY 1"),
@@ -136,7 +227,7 @@ def choose(spark, sf):
     """A saved ensemble scores, else a saved detector, else the heuristic."""
     path, flows = scratch_path(spark, "models"), stored_flows(spark, sf)
     det.train_detector(fixtures.labelled_flows(spark, sf), "row_id").save(spark, f"{path}/detector")
-    ensemble.save_ensemble(_ensemble(spark, sf, numTrees=20, maxDepth=8), f"{path}/ensemble")
+    ensemble.save_ensemble(spark, _ensemble(spark, sf, trees=20, depth=8), f"{path}/ensemble")
     out = None
     for members, detector in ((f"{path}/ensemble", f"{path}/detector"), (f"{path}/none", f"{path}/detector"), (None, f"{path}/none")):
         mode, score = choose_scorer(spark, members, detector)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ def choose_scorer(
     ensemble, attack_label.
     """
     if _exists(spark, ensemble_path):
-        members = [m for m in ("booster", "forest") if _exists(spark, f"{ensemble_path}/{m}")]
-        models = {m: PipelineModel.load(f"{ensemble_path}/{m}") for m in members}
+        members = [m for m in ensemble.MEMBERS if _exists(spark, f"{ensemble_path}/{m}")]
+        models = {m: ensemble.load_member(spark, ensemble_path, m) for m in members}
 
         def by_ensemble(flows: DataFrame, history: DataFrame | None = None) -> DataFrame:
             return flows.join(ensemble.score_flows(flows, models), "id")
