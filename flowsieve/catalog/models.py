@@ -15,7 +15,7 @@ from flowsieve.catalog.base import FLOWS, fixed, q_fixed, register, with_ctes
 from flowsieve.catalog.prep import SERIES_SQL
 from flowsieve.catalog.serving import stored_flows
 from flowsieve.functions.scores import CLASS_LABELS, threshold_label
-from flowsieve.models import boosting, ensemble, linear, outliers, trees, validation
+from flowsieve.models import boosting, ensemble, linear, local_outliers, outliers, trees, validation
 from flowsieve.models import detector as det
 from flowsieve.operators import evaluation, ordered, rollup, sampling
 from flowsieve.plans.features import FEATURE_COLUMNS, feature_vector
@@ -266,7 +266,32 @@ def contamination_search(spark, sf):
 @register("j12_local_outlier_factor", with_ctes(_LABELLED, _SUPPORT))
 def local_outlier_factor(spark, sf):
     train, test = _split(spark, sf, scale=True)
-    return _report(outliers.fit_local_outlier_factor(train, FEATURES, "row_id").predict(test))
+    return _report(local_outliers.fit_full_outlier_factor(train, FEATURES).predict(test))
+
+
+# Every tenth flow's point; its neighbours are all other rows, equal points each by their own row.
+_NEIGHBOURS = """,
+p AS (SELECT id, bytes::DOUBLE AS a, (k * 100)::DOUBLE AS b FROM flows WHERE id < 1200),
+near AS (SELECT id, o, d FROM (SELECT x.id, y.id AS o, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d,
+  row_number() OVER (PARTITION BY x.id ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b), y.a, y.b) AS place
+  FROM p x JOIN p y ON x.id <> y.id) WHERE place <= 10),
+reach AS (SELECT id, max(d) AS r FROM near GROUP BY 1),
+density AS (SELECT near.id, 1 / (avg(greatest(d, r)) + 1e-10) AS l FROM near JOIN reach ON o = reach.id GROUP BY 1)"""
+
+
+@register(
+    "j12_outlier_factors",
+    with_ctes(
+        FLOWS + _NEIGHBOURS,
+        """SELECT near.id, CAST(floor(avg(o.l) / min(x.l) * 1e6 + 0.5) AS BIGINT) AS factor_fx FROM near JOIN density o ON near.o = o.id
+           JOIN density x ON near.id = x.id GROUP BY 1""",
+    ),
+)
+def outlier_factors(spark, sf):
+    """The factors of flows among the first ones, two measures each, by their exact neighbours."""
+    p = fixtures.flow_columns(spark, sf).where("id < 1200").selectExpr("id", "CAST(bytes AS DOUBLE) AS a", "CAST(k * 100 AS DOUBLE) AS b")
+    factors = local_outliers.fit_full_outlier_factor(p, ["a", "b"], neighbours=10, ring_points=60).own_factors(p, "factor")
+    return factors.select("id", F.floor(F.col("factor") * 1e6 + 0.5).cast("bigint").alias("factor_fx"))
 
 
 @register("j13_elliptic_envelope", with_ctes(_LABELLED, _SUPPORT))
