@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsieve.operators.ordered import hash_rank
+from flowsieve.operators.ordered import hash_rank, running_totals
 
 
 def exact_sample(df: DataFrame, key: Column, n: int | None, seed: int = 42) -> DataFrame:
@@ -48,9 +48,36 @@ def stratified_folds(df: DataFrame, label: str, key: Column, k: int = 5, seed: i
     return ranked.withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank")
 
 
+#: Rows that a sorted limit may bring to one task.
+ONE_TASK = 100_000
+
+
+def _nth_largest(df: DataFrame, value: Column, n: int) -> tuple[int, int] | None:
+    """The n-th largest value and the number of rows above it; none if there are fewer rows."""
+    counted = df.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(counted, "v", ["n"], descending=True).where(F.col("cum_n") >= n)
+    found = cum.agg(F.max(F.struct("v", (F.col("cum_n") - F.col("n")).alias("above"))).alias("m")).first().m
+    return None if found is None else (found.v, found.above)
+
+
 def newest(df: DataFrame, n: int, ts: str = "timestamp", key: str = "id") -> DataFrame:
-    """The n newest rows, unordered."""
-    return df.orderBy(F.desc(ts), F.desc(key)).limit(n)
+    """The n newest rows, unordered; of equal times those of the larger numeric key.
+
+    Up to ONE_TASK rows are a sorted limit. More are cut off at the n-th newest time, found by counted
+    time ranges, and inside that instant at the key found the same way: no task gets all of them. Only
+    copies of one row, equal in time and key, are told apart by a limit.
+    """
+    if n <= ONE_TASK:
+        return df.orderBy(F.desc(ts), F.desc(key)).limit(n)
+    least = F.lit(-(1 << 62))
+    at, number = F.coalesce(F.unix_micros(ts), least), F.coalesce(F.col(key).cast("long"), least)
+    first = _nth_largest(df, at, n)
+    if first is None:
+        return df
+    tied = df.where(at == first[0])
+    last, above = _nth_largest(tied, number, n - first[1])
+    copies = tied.where(number == last).limit(n - first[1] - above)
+    return df.where(at > first[0]).unionAll(tied.where(number > last)).unionAll(copies)
 
 
 def recent_first_in(df: DataFrame, n: int = 400, ts: str = "timestamp", key: str = "id") -> DataFrame:
