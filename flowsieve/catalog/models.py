@@ -15,7 +15,7 @@ from flowsieve.catalog.base import FLOWS, fixed, q_fixed, register, with_ctes
 from flowsieve.catalog.prep import SERIES_SQL
 from flowsieve.catalog.serving import stored_flows
 from flowsieve.functions.scores import CLASS_LABELS, threshold_label
-from flowsieve.models import boosting, ensemble, linear, local_outliers, outliers, trees, validation
+from flowsieve.models import boosting, ensemble, linear, local_outliers, outliers, robust, trees, validation
 from flowsieve.models import detector as det
 from flowsieve.operators import evaluation, ordered, rollup, sampling
 from flowsieve.plans.features import FEATURE_COLUMNS, feature_vector
@@ -297,7 +297,7 @@ def outlier_factors(spark, sf):
 @register("j13_elliptic_envelope", with_ctes(_LABELLED, _SUPPORT))
 def elliptic_envelope(spark, sf):
     train, test = _split(spark, sf, scale=True)
-    return _report(linear.fit_envelope(train, FEATURES).predict(test))
+    return _report(robust.fit_robust_envelope(train, FEATURES).predict(test))
 
 
 @register("j14_e12_pca_error", with_ctes(_LABELLED, _SUPPORT))

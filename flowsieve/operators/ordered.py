@@ -75,6 +75,13 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     )
 
 
+def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
+    """The n-th smallest value, counted exactly; none if there are fewer."""
+    values = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
+    cum = running_totals(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value", ["n"])
+    return cum.where(F.col("cum_n") >= n).agg(F.min("value")).first()[0]
+
+
 def mark_above_quantile(df: DataFrame, column: str, q: float = 0.99, name: str = "anomaly") -> DataFrame:
     """Adds 1 where the column lies strictly above its own quantile, else 0."""
     cut: Column = exact_quantile(df, column, q).scalar()
