@@ -7,8 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from flowsieve import fixtures
-from flowsieve.catalog.base import PREDICTIONS, fixed, register, with_ctes
+from flowsieve.catalog.base import FLOWS, PREDICTIONS, fixed, register, with_ctes
 from flowsieve.catalog.prep import _JSON, _PACKETS, _ROLLUP
+from flowsieve.catalog.serving import stored_flows
 from flowsieve.functions.scores import HEURISTIC_ANOMALY, HEURISTIC_WATCH, threshold_label
 from flowsieve.schema import PREDICTIONS as PREDICTION_SCHEMA
 from flowsieve.schema import TRAFFIC_LOG
@@ -202,6 +203,33 @@ def _closed_minutes(spark, sf, rolled):
     )
 
 
+# Four batches by id; after each the newest rows of all so far that are not older than two hours.
+_RETIRED = FLOWS + """,
+at AS (SELECT b, 1704067200000000 + (b + 1) * 6480000000 AS now_us FROM range(4) r(b)),
+held AS (SELECT b, count(*) FILTER (id % 4 = b) AS arrived, least(count(*) FILTER (ts_us >= now_us - 7200000000), 300) AS left_rows
+  FROM at JOIN flows ON id % 4 <= b GROUP BY b, now_us)"""
+
+
+@register(
+    "l03_e16_retired_rows",
+    with_ctes(_RETIRED, "SELECT b AS batch, left_rows AS \"left\", coalesce(lag(left_rows) OVER (ORDER BY b), 0) + arrived - left_rows AS purged FROM held"),
+)
+def retired_rows(spark, sf):
+    """Rows left and purged after each of four batches, by age and number."""
+    store, rows = FlowStore(spark, scratch_path(spark, "retire")), []
+    flows = pinned(stored_flows(spark, sf))
+    for batch in range(4):
+        store.write_flows(flows.where(F.col("id") % 4 == batch), batch)
+        store.finish(batch)
+        purged = store.retire(batch, fixtures_time(batch + 1), minutes=120, max_rows=300)
+        rows.append((batch, store.served()[0].count(), purged))
+    return spark.createDataFrame(rows, "batch long, left long, purged long")
+
+
+def fixtures_time(quarter):
+    return datetime.fromtimestamp(fixtures.ORIGIN_US / 1e6 + quarter * 6480, timezone.utc)
+
+
 @register("l05_streaming_minutes", with_ctes(_ROLLUP, f"SELECT minute_s, n_packets, n_bytes, span_fx, packets_fx, bytes_fx FROM rolled {_CLOSED}"))
 def stream_minutes(spark, sf):
     """Minutes closed by the watermark; the last two stay open."""

@@ -119,7 +119,9 @@ def process_batch(
     if rejects is not None:
         rejects = pinned(rejects)
         store.write_rejects(rejects, batch_id)
-    purged = store.purge(now, retention_minutes, retention_rows)[1]
+    store.finish(batch_id)
+    purged = store.retire(batch_id, now, retention_minutes, retention_rows)
+    store.drop_stale(now, retention_minutes, retention_rows)
     return {
         "ingested": counts["ingested"],
         "blocked": counts["blocked"],
