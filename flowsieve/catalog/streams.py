@@ -205,9 +205,9 @@ def _closed_minutes(spark, sf, rolled):
 
 # Four batches by id; after each the newest rows of all so far that are not older than two hours.
 _RETIRED = FLOWS + """,
-at AS (SELECT b, 1704067200000000 + (b + 1) * 6480000000 AS now_us FROM range(4) r(b)),
+clock AS (SELECT b, 1704067200000000 + (b + 1) * 6480000000 AS now_us FROM range(4) r(b)),
 held AS (SELECT b, count(*) FILTER (id % 4 = b) AS arrived, least(count(*) FILTER (ts_us >= now_us - 7200000000), 300) AS left_rows
-  FROM at JOIN flows ON id % 4 <= b GROUP BY b, now_us)"""
+  FROM clock JOIN flows ON id % 4 <= b GROUP BY b, now_us)"""
 
 
 @register(
