@@ -219,8 +219,8 @@ SERIES_SQL = """series AS (
   FROM lineitem GROUP BY 1)"""
 
 
-def written_series(spark, sf, files=None):
-    """Series files by folder and level; hourly files carry other columns than the rest. files: parts of each write."""
+def written_series(spark, sf, whole=False):
+    """Series files by folder and level; hourly files carry other columns than the rest. whole: one file for each, in a task of its own."""
     base = scratch_path(spark, "series")
     s = fixtures.series(spark, sf)
     part = ["folder", "agg_level"]
@@ -232,7 +232,7 @@ def written_series(spark, sf, files=None):
         *part,
     )
     for frame in (full, hourly):
-        frame = frame if files is None else frame.coalesce(files)
+        frame = frame.repartition(*part) if whole else frame
         frame.write.mode("append").option("header", True).partitionBy(*part).csv(base)
     folders = tuple(f"folder={f}" for f in fixtures.SERIES_FOLDERS) + ("folder=absent",)
     return base, folders
@@ -285,7 +285,7 @@ def series_union(spark, sf):
 )
 def first_files(spark, sf):
     """The first four files by folder and level, each folder and level being one file."""
-    base, folders = written_series(spark, sf, files=1)
+    base, folders = written_series(spark, sf, whole=True)
     files = series.series_files(spark, base, folders, tuple(f"agg_level={v}" for v in fixtures.SERIES_LEVELS), max_files=4)
     counted = series.read_any(spark, files, ("n_flows", "n_packets", "n_bytes")).groupBy("folder", "agg_level")
     return counted.agg(F.count(F.lit(1)).alias("n"))
