@@ -110,12 +110,12 @@ def _class_rows(spark, sf):
     return feature_vector(f.withColumn("attack_type", kind.cast("string")), keep=("id", "attack_type"))
 
 
-def _ensemble(spark, sf, **forest):
+def _ensemble(spark, sf, rounds=QUERY_ROUNDS, **forest):
     rows = pinned(rollup.target_classes(_class_rows(spark, sf).withColumnRenamed("flow_attack_type", "attack_type"), keep=("flow_id",)))
     columns = list(FEATURE_COLUMNS)
     return {
         "forest": ensemble.train_class_forest(rows, columns, **forest),
-        "booster": ensemble.train_attack_booster(rows, columns, rounds=QUERY_ROUNDS),
+        "booster": ensemble.train_attack_booster(rows, columns, rounds=rounds),
     }
 
 
@@ -227,7 +227,7 @@ def choose(spark, sf):
     """A saved ensemble scores, else a saved detector, else the heuristic."""
     path, flows = scratch_path(spark, "models"), stored_flows(spark, sf)
     det.train_detector(fixtures.labelled_flows(spark, sf), "row_id").save(spark, f"{path}/detector")
-    ensemble.save_ensemble(spark, _ensemble(spark, sf, trees=20, depth=8), f"{path}/ensemble")
+    ensemble.save_ensemble(spark, _ensemble(spark, sf, rounds=2, trees=20, depth=8), f"{path}/ensemble")
     out = None
     for members, detector in ((f"{path}/ensemble", f"{path}/detector"), (f"{path}/none", f"{path}/detector"), (None, f"{path}/none")):
         mode, score = choose_scorer(spark, members, detector)
