@@ -227,7 +227,7 @@ def choose(spark, sf):
     """A saved ensemble scores, else a saved detector, else the heuristic."""
     path, flows = scratch_path(spark, "models"), stored_flows(spark, sf)
     det.train_detector(fixtures.labelled_flows(spark, sf), "row_id").save(spark, f"{path}/detector")
-    ensemble.save_ensemble(spark, _ensemble(spark, sf, rounds=2, trees=20, depth=8), f"{path}/ensemble")
+    ensemble.save_ensemble(spark, dict(zip(("forest", "booster"), _given_trees(), strict=True)), f"{path}/ensemble")
     out = None
     for members, detector in ((f"{path}/ensemble", f"{path}/detector"), (f"{path}/none", f"{path}/detector"), (None, f"{path}/none")):
         mode, score = choose_scorer(spark, members, detector)
