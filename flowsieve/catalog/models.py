@@ -21,7 +21,7 @@ from flowsieve.operators import evaluation, ordered, rollup, sampling
 from flowsieve.plans.features import FEATURE_COLUMNS, feature_vector
 from flowsieve.plans.pipeline import choose_scorer
 from flowsieve.schema import SERIES_FEATURES
-from flowsieve.session import pinned, scratch_path
+from flowsieve.session import kept, pinned, scratch_path
 
 FEATURES = list(SERIES_FEATURES)
 # Fixed value: share of the rows that detectors are tested on; they are fitted on all others.
@@ -45,14 +45,15 @@ _SUPPORT = """SELECT name, support, true AS consistent FROM (
 
 
 def _series(spark, sf, scale=False):
-    s = ordered.mark_above_quantile(fixtures.series(spark, sf), "n_bytes").select("row_id", "anomaly", *FEATURES)
+    """Labelled series rows; written once, so that every fit reads the same rows and none builds them anew."""
+    rows = kept(fixtures.series(spark, sf).select("row_id", *FEATURES))
+    s = ordered.mark_above_quantile(rows, "n_bytes").select("row_id", "anomaly", *FEATURES)
     return rollup.scaled_columns(s, FEATURES, ["row_id", "anomaly"]) if scale else s
 
 
 def _split(spark, sf, scale=False):
-    """Labelled series rows in two parts that together hold all; written once so every fit reads the same rows."""
-    train, test = sampling.share_split(_series(spark, sf, scale), F.col("row_id"), TEST_SHARE)
-    return pinned(train), pinned(test)
+    """Labelled series rows in two parts that together hold all, told apart row by row where they are read."""
+    return sampling.share_split(_series(spark, sf, scale), F.col("row_id"), TEST_SHARE)
 
 
 def _report(predicted):
@@ -246,7 +247,7 @@ def isolation_forest(spark, sf):
 def isolation_forest_signed(spark, sf):
     """Every row marked -1 or 1 by a forest over the three scaled counts; at most the contamination, rounded up, is -1."""
     columns = ["n_flows", "n_packets", "n_bytes"]
-    s = rollup.scaled_columns(fixtures.series(spark, sf), columns, ["row_id"])
+    s = rollup.scaled_columns(kept(fixtures.series(spark, sf).select("row_id", *columns)), columns, ["row_id"])
     marked = outliers.fit_isolation_forest(s, columns, "row_id").predict_signed(s)
     odd = F.count_if(F.col("predicted") == -1)
     rows = F.count(F.lit(1))

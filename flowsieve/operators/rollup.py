@@ -123,13 +123,10 @@ def concat_complete(parts: list[DataFrame], required: tuple[str, ...]) -> DataFr
 
 
 def scaled_columns(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
-    """Columns mapped to [0, 1] by their own minimum and maximum; a constant column becomes 0."""
+    """Columns mapped to [0, 1] by their own minimum and maximum, read once here; a constant column becomes 0."""
     bounds = df.agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
+    types, found = {f.name: f.dataType for f in bounds.schema}, bounds.first()
+    at = lambda name: F.lit(found[name]).cast(types[name])
     rest = [c for c in df.columns if c not in columns] if keep is None else keep
-    box = F.struct(*[F.col(c) for c in bounds.columns])
-    span = bounds.select(box.alias("b")).scalar()
-    scaled = df.withColumn("_b", span)
-    value = lambda c: (F.col(c) - F.col(f"_b._lo_{c}")) / F.coalesce(
-        F.nullif(F.col(f"_b._hi_{c}") - F.col(f"_b._lo_{c}"), F.lit(0)), F.lit(1)
-    )
-    return scaled.select(*rest, *[value(c).alias(c) for c in columns])
+    value = lambda c: (F.col(c) - at(f"_lo_{c}")) / F.coalesce(F.nullif(at(f"_hi_{c}") - at(f"_lo_{c}"), F.lit(0)), F.lit(1))
+    return df.select(*rest, *[value(c).alias(c) for c in columns])

@@ -56,6 +56,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, as Parquet in the shared folder: computed once, and readers take only the columns they need."""
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over as many partitions as there are cores, if the scan has fewer: a table of few row groups."""
     cores = df.sparkSession.sparkContext.defaultParallelism
