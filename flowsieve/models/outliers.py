@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators.evaluation import classification_report
 from flowsieve.operators.ordered import exact_quantile
 from flowsieve.operators.sampling import exact_sample
-from flowsieve.session import pinned
+from flowsieve.session import kept, pinned
 
 # Executors need not have this package installed: functions sent to them carry their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -294,7 +294,7 @@ def fit_one_class(
     The offset is set last, as the nu-quantile of the training scores.
     """
     numbers = [F.col(c).cast("double").alias(c) for c in columns]
-    rows = train = pinned(train.select(*numbers))
+    rows = train = kept(train.select(*numbers))
     stats = rows.agg(
         F.count(F.lit(1)), sum((F.avg(c) for c in columns), F.lit(0.0)), sum((F.avg(F.col(c) * F.col(c)) for c in columns), F.lit(0.0))
     ).first()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from flowsieve.models.linear import Envelope, chi2_quantile, moments, with_mahalanobis
 from flowsieve.operators.ordered import exact_quantile, nth_smallest
 from flowsieve.operators.sampling import exact_sample
-from flowsieve.session import pinned
+from flowsieve.session import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -122,7 +122,7 @@ def minimum_covariance(rows: DataFrame, columns: list[str], half: int | None = N
 
 def fit_robust_envelope(train: DataFrame, columns: list[str], contamination: float = 0.01, seed: int = 42) -> Envelope:
     """The ellipse of the smallest determinant, corrected for the normal and fitted anew to what lies inside it."""
-    p, train = len(columns), pinned(train.select(*columns).na.drop())
+    p, train = len(columns), kept(train.select(*columns).na.drop())
     mean, cov, _ = minimum_covariance(train, columns, seed=seed)
     middle = exact_quantile(with_mahalanobis(train, columns, mean, cov, "_d"), "_d", 0.5).first()[0]
     cov = cov * max(middle / chi2_quantile(0.0, p), 1e-12)

@@ -7,14 +7,20 @@ ranges before it; only the per-range totals are ordered in one place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsieve.session import pinned
+from flowsieve.session import kept, pinned
 
 RANGES = 128
+#: Slices of a hash that is ranked.
+SLICES = 1 << 16
+#: Ranks that are ordered on each side of a wanted one, and the error of the marks around them, as shares of the rows.
+ASIDE, MARK_ERROR = 1 / 512, 1 / 2048
 
 
 def _range_index(df: DataFrame, order_col: str, ranges: int) -> DataFrame:
@@ -57,35 +63,55 @@ def running_totals(
     )
 
 
+def _around(df: DataFrame, column: str, ranks) -> tuple[DataFrame, int, tuple[int, int]]:
+    """(values with cum_n, number of values, ranks): the distinct values around the wanted ranks, counted from the least.
+
+    ranks(n) gives two ranks from 1 on of n values. Marks on both sides of them, by a sketch of known error, cut off
+    all values that can't have these ranks: those are only counted, the others are ordered.
+    """
+    values = kept(df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull()))
+    nan = F.isnan("value")
+    n, numbers = values.agg(F.count(F.lit(1)), F.count_if(~nan)).first()
+    low, high = ranks(n)
+    # Sketches leave NaN out; in order it is the last value.
+    shares = [(low - 2) / max(numbers, 1) - ASIDE, (high + 2) / max(numbers, 1) + ASIDE]
+    marks = values.approxQuantile("value", [min(max(q, 0.0), 1.0) for q in shares], MARK_ERROR) if numbers else []
+    under = F.col("value") < F.lit(marks[0]) if marks and shares[0] > 0.0 else F.lit(False)
+    over = F.col("value") > F.lit(marks[1]) if marks and shares[1] < 1.0 else F.lit(False)
+    below, above = values.agg(F.count_if(under), F.count_if(over)).first()
+    if below >= low or n - above < high:  # a sketch that missed: all are ordered
+        under, over, below = F.lit(False), F.lit(False), 0
+    counted = values.where(~under & ~over).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(counted, "value", ["n"])
+    return cum.select("value", (F.col("cum_n") + F.lit(below)).alias("cum_n")), n, (low, high)
+
+
 def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row, one column `quantile`: linear interpolation between the two nearest ranks."""
-    counted = (
-        df.select(F.col(column).cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cum = running_totals(counted, "value", ["n"])
-    place = (F.col("all_n") - 1) * F.lit(float(q))
-    low = F.min(F.when(F.col("cum_n") > F.floor(place), F.col("value")))
-    high = F.min(F.when(F.col("cum_n") > F.ceil(place), F.col("value")))
-    part = F.max(place - F.floor(place))
-    return cum.agg(low.alias("low"), high.alias("high"), part.alias("part")).select(
-        (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("quantile")
+    place = lambda n: max(n - 1, 0) * float(q)
+    cum, n, (low, high) = _around(df, column, lambda n: (math.floor(place(n)) + 1, math.ceil(place(n)) + 1))
+    at = lambda rank: F.min(F.when(F.col("cum_n") >= rank, F.col("value")))
+    part = F.lit(place(n) - math.floor(place(n)))
+    return cum.agg(at(low).alias("low"), at(high).alias("high")).select(
+        (F.col("low") + (F.col("high") - F.col("low")) * part).alias("quantile")
     )
 
 
 def nth_smallest(df: DataFrame, column: str, n: int) -> float | None:
     """The n-th smallest value, counted exactly; none if there are fewer."""
-    values = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
-    cum = running_totals(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value", ["n"])
+    cum, _, _ = _around(df, column, lambda _: (n, n))
     return cum.where(F.col("cum_n") >= n).agg(F.min("value")).first()[0]
 
 
 def mark_above_quantile(df: DataFrame, column: str, q: float = 0.99, name: str = "anomaly") -> DataFrame:
     """Adds 1 where the column lies strictly above its own quantile, else 0."""
-    cut: Column = exact_quantile(df, column, q).scalar()
-    return df.withColumn(name, F.when(F.col(column) > cut, F.lit(1)).otherwise(F.lit(0)))
+    cut = exact_quantile(df, column, q).first()[0]
+    return df.withColumn(name, F.when(F.col(column) > F.lit(cut).cast("double"), F.lit(1)).otherwise(F.lit(0)))
+
+
+def hash_slice(h: Column, slices: int = SLICES) -> Column:
+    """The slice of a 64-bit hash: equal parts of its range, in its order."""
+    return F.floor(h / F.lit(2.0**64 / slices)).cast("bigint")
 
 
 def hash_rank(
@@ -94,7 +120,7 @@ def hash_rank(
     seed: int,
     partition: list[str] | None = None,
     size_name: str | None = None,
-    slices: int = 1 << 16,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Adds `rank` (from 1) in a repeatable random order, within each value of the partition columns.
 
@@ -104,7 +130,7 @@ def hash_rank(
     """
     part = list(partition or [])
     hashed = df.withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    sliced = hashed.withColumn("_slice", F.floor(F.col("_h") / F.lit(2.0**64 / slices)).cast("bigint"))
+    sliced = hashed.withColumn("_slice", hash_slice(F.col("_h"), slices))
     totals = sliced.groupBy(*part, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*part).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowsieve.operators.ordered import hash_rank, running_totals
+from flowsieve.operators.ordered import hash_rank, hash_slice, running_totals
 
 
 def exact_sample(df: DataFrame, key: Column, n: int | None, seed: int = 42) -> DataFrame:
     """Exactly n rows in hash order of the key; all rows when there are no more than n."""
     if n is None or n <= 0:
         return df
-    return hash_rank(df, key, seed).where(F.col("rank") <= n).drop("rank")
+    # Only slices up to the one that holds the n-th hash are ranked: the others can't have a rank so low.
+    counted = df.select(hash_slice(F.xxhash64(key, F.lit(seed))).alias("_slice")).groupBy("_slice").agg(F.count(F.lit(1)).alias("n"))
+    seen, last = 0, None
+    for last, count in sorted(counted.collect()):
+        seen += count
+        if seen >= n:
+            break
+    low = df if last is None else df.where(hash_slice(F.xxhash64(key, F.lit(seed))) <= last)
+    return hash_rank(low, key, seed).where(F.col("rank") <= n).drop("rank")
 
 
 def fixed_split(df: DataFrame, key: Column, test_size: int, train_size: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
