@@ -18,6 +18,7 @@ grouped between the places where tokens of both end.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -47,6 +48,8 @@ BLOCK_ENTRIES = 1_000_000
 #: Distinct pieces, and their bytes, that a worker keeps.
 HELD_PIECES = 150_000
 HELD_BYTES = 30_000_000
+#: New pieces that vocabulary A's tokenizer gets as one text.
+JOINED = 256
 #: Least share of all (pair, document) entries that makes a pair a heavy hitter.
 SHARE = 1 / 500_000
 #: Blocks whose documents' sums a task holds.
@@ -113,11 +116,31 @@ class Aligner:
         self.starts.frombytes((self.starts[-1] + np.cumsum(n_links)).tobytes())
         self.links.frombytes(links.tobytes())
 
+    def _of_a(self, texts: list[str], alone: int) -> list[list[int]]:
+        """A tokens of each text (a space and a piece). All but the last `alone` end with another character than white
+        space, so that the next one's space is where no token goes across: they are encoded many as one."""
+        encoded = lambda some: [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
+        many = len(texts) - alone
+        runs = [texts[k : min(k + JOINED, many)] for k in range(0, many, JOINED)]
+        out = []
+        for run, ids in zip(runs, encoded(["".join(run) for run in runs]), strict=True):
+            stops, ends = np.cumsum(self.a_sizes[ids]), np.cumsum([len(t.encode()) for t in run])
+            at = np.searchsorted(stops, ends)
+            if stops[-1] == ends[-1] and (stops[at] == ends).all():
+                at = [0, *(at + 1).tolist()]
+                out += [ids[i:j] for i, j in zip(at, at[1:], strict=False)]
+            else:  # tokens that are not the text's bytes
+                out += encoded(run)
+        return out + encoded(texts[many:])
+
     def learn(self, pieces: set[str]) -> None:
         if len(self.said) > HELD_PIECES or self.held > HELD_BYTES:
             self._forget()
         new = list(pieces.difference(self.known))
-        of_a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
+        alone = [p for p in new if not p or p[-1].isspace()]
+        if alone:
+            new = [p for p in new if p and not p[-1].isspace()] + alone
+        of_a = self._of_a([f" {p}" for p in new], len(alone))
         of_b = [ids or [self.lone] for ids in self.b.encode(new, num_threads=1)]
         texts = [b" " + p.encode() for p in new]
         self.held += sum(map(len, texts))
@@ -156,6 +179,7 @@ class Aligner:
 
 @lru_cache(maxsize=1)
 def _aligner(a_path: str, b_path: str) -> Aligner:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
     return Aligner(a_path, b_path)
 
 

@@ -146,3 +146,24 @@ def test_odd_rows(odd, clashing):
         got = alignment.align(df).collect()
         assert sorted((str(r.doc_id), r.n_a, r.n_links, r.n_best, r.count_sum) for r in got) == sorted((str(i), w[0], w[3], w[4], w[5]) for (i, *_), w in zip(ODD, rows, strict=True))
     assert alignment.align(odd.limit(0)).count() == 0
+
+
+def test_new_pieces_are_encoded_many_as_one():
+    """Pieces go to tokenizer A in long runs, but for those that end with white space; the tokens are those of each piece."""
+    aligner = alignment.Aligner(vocabulary_path(alignment.A_VOCABULARY), vocabulary_path(alignment.B_VOCABULARY))
+    given = []
+    whole = aligner.a
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    aligner.a = Counted()
+    text = " ".join(f"word{k} it's 中{k}é <|endoftext|> x{k}\n" for k in range(400))
+    texts = [text, "a \n b\t c ", "tail ", " ", None, ""]
+    totals, written, _, _ = aligner.read(texts)
+    assert len(given) < 20
+    for t, (n_a, n_b, *_), groups in zip(texts, totals.tolist(), written, strict=True):
+        want = aligned(t)
+        assert (n_a, n_b, groups) == (want[0], want[1], want[4])
