@@ -2,8 +2,8 @@
 
 The words of a batch that are not known yet are sorted, which is the depth-first order of their
 trie. A node's state is the last token of the encoding of its path; it follows from the states of
-its ancestors, so a prefix that many words share is worked out once. The walk keeps the states of
-one path only.
+its ancestors, so a prefix that many words share is worked out once, and one that no token can follow
+not at all. The walk keeps the states of one path only.
 
 A token sequence is an encoding exactly if each neighbouring pair is one that the merges leave
 apart, so the last token of a path is the one suffix token that fits the state before it.
@@ -28,6 +28,10 @@ HELD_PAIRS = 1_000_000
 #: Last bytes of a path that tell which tokens may end it.
 NEAR = 4
 _END = "</w>"
+#: Bits of a token number in a pair's.
+_TOKEN_BITS = 32
+#: Depths of a path whose states are worked out in order.
+CHAIN = 128
 
 
 def byte_symbols() -> list[str]:
@@ -73,7 +77,7 @@ class TrieEncoder:
         self.longer = [self._longer(d) for d in (self.inner, self.final)]
         self.endings: list[dict[bytes, list[tuple[int, int | None]]]] = [{}, {}]
         self.size = {t: len(w) for d in (self.inner, self.final) for w, t in d.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     @staticmethod
     def _longer(tokens: dict[bytes, int]) -> dict[bytes, list[int]]:
@@ -112,21 +116,27 @@ class TrieEncoder:
                 limit, right = b + 1, self.parts[right][0]
 
     def _last(self, final: int, path: bytes, states: list[int], depth: int) -> int:
-        """The last token of the encoding of path[:depth]; states[d] is that of path[:d]."""
-        end = path[depth - NEAR : depth] if depth >= NEAR else path[:depth]
+        """The last token of the encoding of path[:depth]; states[d] is that of path[:d], worked out when it is asked for."""
         fits, tokens = self.fits, self.final if final else self.inner
+        end = path[depth - NEAR : depth] if depth > NEAR else path[:depth]
         for size, token in self.endings[final].get(end) or self._ending(final, end):
             start = depth - size
-            if start < 0 or (token is None and (token := tokens.get(path[start:depth])) is None):
+            if token is None and (start < 0 or (token := tokens.get(path[start:depth])) is None):
                 continue
             if not start:
-                return token
-            pair = (states[start], token)
-            if pair not in fits:
-                fits[pair] = self.stays_apart(*pair)
-            if fits[pair]:
-                return token
-        raise ValueError("a byte has no token")
+                break
+            state = states[start]
+            if state < 0:
+                state = states[start] = self._last(0, path, states, start)
+            pair = state << _TOKEN_BITS | token
+            apart = fits.get(pair)
+            if apart is None:
+                apart = fits[pair] = self.stays_apart(state, token)
+            if apart:
+                break
+        else:
+            raise ValueError("a byte has no token")
+        return token
 
     def encode(self, words: list[bytes]) -> Iterator[list[int]]:
         """Token ids of sorted distinct words, in their order."""
@@ -137,19 +147,29 @@ class TrieEncoder:
         size, last = self.size, self._last
         before, states = b"", [-1]
         for word in words:
-            inside, same, most = len(word) - 1, 0, min(len(before), len(word) - 1, len(states) - 1)
-            while same < most and before[same] == word[same]:
-                same += 1
+            inside = len(word) - 1
+            same, most = 0, min(len(before), inside, len(states) - 1)
+            if before[:most] == word[:most]:
+                same = most
+            else:
+                while before[same] == word[same]:
+                    same += 1
             del states[same + 1 :]
-            for depth in range(same + 1, inside + 1):
-                states.append(last(0, word, states, depth))
-            out = [last(1, word, states, len(word))]
-            depth = len(word) - size[out[0]]
-            while depth:
-                out.append(states[depth])
-                depth -= size[states[depth]]
+            states += [-1] * (inside - same)
+            # So that no chain of states that are not known yet is longer.
+            for depth in range(CHAIN, inside, CHAIN):
+                if states[depth] < 0:
+                    states[depth] = last(0, word, states, depth)
+            token, out, depth = last(1, word, states, inside + 1), [], inside + 1
+            while True:
+                out.append(token)
+                depth -= size[token]
+                if not depth:
+                    break
+                token = states[depth]
             before = word
-            yield out[::-1]
+            out.reverse()
+            yield out
 
 
 class Codec:
@@ -163,6 +183,7 @@ class Codec:
         #: Of words that stand in runs with others: ids and tokens.
         self.words: dict[str, tuple[str, str]] = {}
         self.old: tuple[dict[str, str], dict[str, str], dict[str, tuple[str, str]]] = {}, {}, {}
+        self.written = {i: str(i) for i in self.trie.names}
 
     def forget(self) -> None:
         """Drops the elder generation."""
@@ -179,15 +200,16 @@ class Codec:
                 ids[chunk], said[chunk] = old_ids[chunk], old_said[chunk]
             else:
                 new[chunk] = self.cut.words(chunk)
-        added, names = self.cut.added, self.trie.names
-        made = {w: (str(i), names[i]) for w, i in added.items()}
+        added, names = self.cut.added, self.trie.names.__getitem__
+        made = {w: (str(i), names(i)) for w, i in added.items()}
         for w in (every := set().union(*new.values()).difference(made)):
             known = kept.get(w) or old_words.get(w) or (ids.get(w) and (ids[w], said[w]))
             if known:
                 made[w] = known
-        words = sorted((w.encode(), w) for w in every if w not in made)
-        for (_, w), tokens in zip(words, self.trie.encode([w for w, _ in words]), strict=True):
-            made[w] = " ".join(map(str, tokens)), " ".join([names[i] for i in tokens])
+        # The order of code points is that of their UTF-8 bytes.
+        words, written = sorted(every.difference(made)), self.written.__getitem__
+        for w, tokens in zip(words, self.trie.encode([w.encode() for w in words]), strict=True):
+            made[w] = " ".join(map(written, tokens)), " ".join(map(names, tokens))
         for chunk, parts in new.items():
             if len(parts) == 1:
                 ids[chunk], said[chunk] = made[parts[0]]

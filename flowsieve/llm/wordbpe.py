@@ -78,6 +78,8 @@ class PreTokens:
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a piece."""
+        if chunk.isalpha():  # a plain piece of letters is one
+            return [chunk]
         return [chunk[1:]] if chunk[0] == " " else self._cut(chunk)
 
     def __call__(self, text: str | None) -> list[str]:

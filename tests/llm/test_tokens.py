@@ -87,3 +87,17 @@ def test_odd_rows_stay_apart(clashing):
 
 def test_empty_tables(odd):
     assert token_counts.count_tokens(odd.limit(0)).count() == 0 and bpe_codec.digests(odd.limit(0)).count() == 0
+
+
+def test_states_that_no_token_needs_are_not_worked_out(monkeypatch):
+    """A long token that begins a word answers for the prefixes inside it; what comes out is the library's."""
+    trie = bpe_codec.TrieEncoder(vocabulary_path())
+    asked, last = [], trie._last
+    monkeypatch.setattr(trie, "_last", lambda *a: asked.append(a[-1]) or last(*a))
+    words = sorted([b"international", b"internationally", b"a" * 3000, "déjà".encode(), b"x"])
+    plain = pre_tokens(vocabulary_path()).plain
+    want = [e.ids for e in plain.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    assert list(trie.encode(words)) == want
+    asked.clear()
+    next(trie.encode([b"internationally"]))
+    assert len(asked) < len("internationally")
