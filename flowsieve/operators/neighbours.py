@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +45,44 @@ def distinct_points(df: DataFrame, columns: list[str]) -> DataFrame:
     return pinned(counted.withColumn("point", F.monotonically_increasing_id()).select("point", "x", "n"))
 
 
-def _stacked(x: pd.Series) -> np.ndarray:
-    return np.stack(x.to_numpy()) if len(x) else np.empty((0, 0))
+def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    flat = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(x), -1) if len(x) else np.empty((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
-def _in_steps(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Distances of slices of a to all of b, few numbers at a time."""
-    step = max(1, 4_000_000 // max(b.size, 1))
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of rows of a to the rows of b beside them."""
+    return np.sqrt(((a - b) ** 2).sum(axis=-1))
+
+
+def _near_squares(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray, float]]:
+    """Squared distances of slices of a to all of b as one product of matrices, and the error that none exceeds.
+
+    They only tell which distances are worth working out.
+    """
+    middle = b.mean(axis=0)
+    b = b - middle
+    squares = (b**2).sum(axis=1)
+    step = max(1, 2_000_000 // max(len(b), 1))
     for s in range(0, len(a), step):
-        yield slice(s, s + step), _distances(a[s : s + step], b)
+        part = a[s : s + step] - middle
+        own = (part**2).sum(axis=1)
+        error = 4e-16 * (a.shape[1] + 8) * (own.max() + squares.max())
+        yield slice(s, s + len(part)), part @ (-2.0 * b.T) + own[:, None] + squares, float(error)
+
+
+def _closest(s: np.ndarray, x: np.ndarray, b: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the nearest row of b for each row of x, the first one of equally near; s: near squares."""
+    row, col = np.nonzero(~(s > s.min(axis=1)[:, None] + 2 * error))
+    d = _between(x[row], b[col])
+    order = np.lexsort((col, d, row))
+    first = order[np.searchsorted(row, np.arange(len(x)))]
+    return col[first], d[first]
 
 
 class NeighbourIndex:
@@ -74,15 +100,14 @@ class NeighbourIndex:
         pivots = np.unique(np.array([r.x for r in chosen], np.float64), axis=0) if chosen else np.empty((0, 0))
         sent = points.sparkSession.sparkContext.broadcast(pivots)
 
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, cell, d = _stacked(batch.x), np.empty(len(batch), np.int64), np.empty(len(batch))
-                for s, dist in _in_steps(x, sent.value):
-                    cell[s] = dist.argmin(axis=1)
-                    d[s] = dist.min(axis=1)
-                yield batch.assign(cell=cell, d=d)
+                x, cell, d = _matrix(batch["x"]), np.empty(len(batch), np.int64), np.empty(len(batch))
+                for s, squares, error in _near_squares(x, sent.value):
+                    cell[s], d[s] = _closest(squares, x[s], sent.value, error)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("point", "x", "n")), pa.array(cell), pa.array(d)], ["point", "x", "n", "cell", "d"])
 
-        placed = pinned(points.mapInPandas(assign, "point long, x array<double>, n long, cell long, d double"))
+        placed = pinned(points.select("point", "x", "n").mapInArrow(assign, "point long, x array<double>, n long, cell long, d double"))
         shares = [k / MOST_RINGS for k in range(1, MOST_RINGS)]
         # One row for each pivot.
         cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("d").alias("reach"), F.percentile_approx("d", F.array(*map(F.lit, shares)), F.lit(4 * MOST_RINGS)).alias("marks")).collect()
@@ -109,43 +134,51 @@ class NeighbourIndex:
         pivots, marks = self.pivots, self.marks
         sent = queries.sparkSession.sparkContext.broadcast((pivots, marks))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots, marks = sent.value
             for batch in batches:
-                x, ring = _stacked(batch.x), np.empty(len(batch), np.int64)
-                for s, dist in _in_steps(x, pivots):
-                    cell = dist.argmin(axis=1)
-                    ring[s] = [c * _RING + int(np.searchsorted(marks[c], d)) for c, d in zip(cell.tolist(), dist.min(axis=1).tolist(), strict=True)]
-                yield batch.assign(ring=ring, bound=np.inf)
+                x, ring = _matrix(batch["x"]), np.empty(len(batch), np.int64)
+                for s, squares, error in _near_squares(x, pivots):
+                    cell, d = _closest(squares, x[s], pivots, error)
+                    ring[s] = [c * _RING + int(np.searchsorted(marks[c], v)) for c, v in zip(cell.tolist(), d.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["query"], batch["x"], pa.array(ring), pa.array(np.full(len(batch), np.inf))], ["query", "x", "ring", "bound"])
 
-        return queries.mapInPandas(run, "query long, x array<double>, ring long, bound double")
+        return queries.select("query", "x").mapInArrow(run, "query long, x array<double>, ring long, bound double")
 
     def visits(self, bounded: DataFrame) -> DataFrame:
         """(query, x, ring, bound): every ring but the own one that can hold a point within the bound of the query."""
-        between = _distances(self.pivots, self.pivots)
+        between = np.stack([_between(self.pivots, p) for p in self.pivots]) if len(self.pivots) else np.empty((0, 0))
         sent = bounded.sparkSession.sparkContext.broadcast((self.pivots, self.marks, self.reach, between))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots, marks, reach, between = sent.value
             for batch in batches:
-                x, bound, own = _stacked(batch.x), batch.bound.to_numpy(), batch.ring.to_numpy()
-                row, ring = [], []
-                for s, dist in _in_steps(x, pivots):
-                    cell, far = dist.argmin(axis=1), bound[s][:, None]
+                x, bound, own = _matrix(batch["x"]), batch["bound"].to_numpy(zero_copy_only=False), batch["ring"].to_numpy(zero_copy_only=False)
+                for s, squares, error in _near_squares(x, pivots):
+                    cell, nearest = _closest(squares, x[s], pivots, error)
+                    # Cells that may be met by the near squares, then those that are by the distances themselves.
+                    farthest = (bound[s][:, None] + reach[None, :]) * (1 + 1e-8) + 1e-8
+                    row, c = np.nonzero((reach >= 0)[None, :] & ~(squares - error > farthest**2))
+                    far, to = bound[s][row], between[cell[row], c]
+                    with np.errstate(invalid="ignore"):
+                        may = ~(squares[row, c] - error - nearest[row] ** 2 > 2 * to * (far + 4e-9 * (1 + nearest[row] + to)))
+                    row, c, far, to = row[may], c[may], far[may], to[may]
+                    dist = _between(x[s][row], pivots[c])
                     slack = 1e-9 * (1 + dist)  # what rounding can take from a bound
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        plane = (dist**2 - dist.min(axis=1)[:, None] ** 2) / (2 * between[cell])
-                    meets = (reach[None, :] >= 0) & (dist - far <= reach[None, :] + slack) & ~(plane > far + slack)
-                    for k, c in zip(*np.nonzero(meets), strict=True):
-                        d, b = dist[k, c], bound[s][k] + slack[k, c]
-                        first, last = np.searchsorted(marks[c], [d - b, d + b])
-                        rings = c * _RING + np.arange(first, last + 1)
-                        rings = rings[rings != own[s][k]]
-                        row += [s.start + k] * len(rings)
-                        ring += rings.tolist()
-                yield pd.DataFrame({"query": batch["query"].to_numpy()[row], "x": batch.x.to_numpy()[row], "ring": np.array(ring, np.int64), "bound": bound[row]})
-
-        return bounded.select("query", "x", "ring", "bound").mapInPandas(run, "query long, x array<double>, ring long, bound double")
+                        plane = (dist**2 - nearest[row] ** 2) / (2 * to)
+                    meets = (dist - far <= reach[c] + slack) & ~(plane > far + slack)
+                    row, c, dist, far = row[meets], c[meets], dist[meets], (far + slack)[meets]
+                    spans = [np.searchsorted(marks[at], (d - b, d + b)) for at, d, b in zip(c.tolist(), dist.tolist(), far.tolist(), strict=True)]
+                    first, last = np.array(spans, np.int64).reshape(-1, 2).T
+                    many = last - first + 1
+                    row, step = np.repeat(row, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    ring = np.repeat(c * _RING + first, many) + step
+                    row, ring = row[ring != own[s][row]], ring[ring != own[s][row]]
+                    at = pa.array(s.start + row)
+                    yield pa.RecordBatch.from_arrays([batch["query"].take(at), _lists(x[s][row]), pa.array(ring), pa.array(bound[s][row])], ["query", "x", "ring", "bound"])
+
+        return bounded.select("query", "x", "ring", "bound").mapInArrow(run, "query long, x array<double>, ring long, bound double")
 
     def answers(self, visits: DataFrame, k: int, same: bool) -> DataFrame:
         """(query, near): in each visited ring the nearest points with k rows within the bound, by distance and number.
@@ -158,27 +191,42 @@ class NeighbourIndex:
         copies = parts.select(F.col("ring").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         held = self.points.join(copies, F.col("ring") == F.col("of")).select("ring", "part", "point", "x", "n")
 
-        def run(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            queries, near = asked["query"].to_numpy(), []
-            order = held.point.to_numpy().argsort()
-            x, points, counts = _stacked(held.x)[order] if len(held) else np.empty((0, 0)), held.point.to_numpy()[order], held.n.to_numpy()[order]
-            bound = asked.bound.to_numpy()
-            if len(points):
-                for s, dist in _in_steps(_stacked(asked.x), x):
-                    for row, d in enumerate(dist):
-                        query = queries[s.start + row]
-                        inside = np.flatnonzero(d <= bound[s.start + row] * (1 + 1e-12))
-                        inside = inside[np.argsort(d[inside], kind="stable")[: k + 1]]
-                        n = counts[inside] - (points[inside] == query if same else 0)
-                        inside, n = inside[n > 0], n[n > 0]
-                        enough = int(np.searchsorted(np.cumsum(n), k)) + 1
-                        near.append([{"d": float(a), "point": int(b), "n": int(c)} for a, b, c in zip(d[inside][:enough], points[inside][:enough], n[:enough], strict=True)])
-            else:
-                near = [[] for _ in queries]
-            return pd.DataFrame({"query": queries, "near": near})
+        def nearest(x: np.ndarray, bound: np.ndarray, queries: np.ndarray, of: np.ndarray, points: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+            """(row, distance, place, rows) of the neighbours, a slice of queries at a time, in order."""
+            for s, squares, error in _near_squares(x, of):
+                # Not beyond the bound, and no more than the next k + 1 points.
+                limit = np.minimum(bound[s] ** 2 * (1 + 1e-9) + error, np.inf)
+                full = np.flatnonzero((squares > limit[:, None]).sum(axis=1) < len(of) - k - 1)
+                if len(full):
+                    limit[full] = np.minimum(limit[full], np.partition(squares[full], k, axis=1)[:, k] + 2 * error)
+                row, at = np.nonzero(~(squares > limit[:, None]))
+                d = _between(x[s][row], of[at])
+                inside = d <= bound[s][row] * (1 + 1e-12)
+                row, at, d = row[inside], at[inside], d[inside]
+                order = np.lexsort((at, d, row))
+                row, at, d = row[order], at[order], d[order]
+                taken = np.arange(len(row)) - np.searchsorted(row, row) <= k
+                row, at, d = row[taken], at[taken], d[taken]
+                n = counts[at] - (points[at] == queries[s][row] if same else 0)
+                row, at, d, n = row[n > 0], at[n > 0], d[n > 0], n[n > 0]
+                before = np.cumsum(n) - n
+                wanted = before - before[np.searchsorted(row, row)] < k
+                yield s.start + row[wanted], d[wanted], at[wanted], n[wanted]
+
+        def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+            queries, parts = asked["query"].to_numpy(), []
+            if len(held) and len(asked):
+                points = held["point"].to_numpy()
+                order = points.argsort()
+                points, counts = points[order], held["n"].to_numpy()[order]
+                parts = list(nearest(_matrix(asked["x"]), asked["bound"].to_numpy(), queries, _matrix(held["x"])[order], points, counts))
+            row, d, at, n = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
+            each = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(points[at] if parts else at, pa.int64()), pa.array(n, pa.int64())], names=["d", "point", "n"])
+            ends = pa.array(np.searchsorted(row, np.arange(len(queries) + 1)), pa.int32())
+            return pa.table({"query": pa.array(queries, pa.int64()), "near": pa.ListArray.from_arrays(ends, each)})
 
         schema = "query long, near array<struct<d: double, point: long, n: long>>"
-        return asked.groupBy("at", "turn").cogroup(held.groupBy("ring", "part")).applyInPandas(run, schema)
+        return asked.groupBy("at", "turn").cogroup(held.groupBy("ring", "part")).applyInArrow(run, schema)
 
 
 def _taken(near: Column, k: int) -> Column:

@@ -83,3 +83,19 @@ def test_copies_nulls_and_few_rows(spark):
     assert rows[1.0, 1.0] == (pytest.approx(1.0), 50) and rows[9.0, 9.0][0] > 1e6 and rows[None, 1.0] == (None, 1)
     small = fit_full_outlier_factor(df.limit(0), ["a", "b"])
     assert small.predict(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_few_distances_are_worked_out(monkeypatch, shift):
+    """The nearest pivots are those of all distances, ties and far origins included, but hardly more than one distance a row is worked out."""
+    rng = np.random.default_rng(6)
+    pivots = np.round(rng.uniform(size=(500, 4)), 2) + shift
+    x = np.concatenate([rng.uniform(size=(4000, 4)) + shift, pivots[:50], (pivots[:50] + pivots[50:100]) / 2])
+    worked, between = [], neighbours._between
+    monkeypatch.setattr(neighbours, "_between", lambda a, b: worked.append(len(a)) or between(a, b))
+    cell, d = np.empty(len(x), np.int64), np.empty(len(x))
+    for s, squares, error in neighbours._near_squares(x, pivots):
+        cell[s], d[s] = neighbours._closest(squares, x[s], pivots, error)
+    every = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2))
+    assert (cell == every.argmin(axis=1)).all() and (d == every.min(axis=1)).all()
+    assert sum(worked) < 1.1 * len(x)
