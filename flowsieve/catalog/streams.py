@@ -29,27 +29,34 @@ fl AS (SELECT * FROM pk WHERE src_ip <> '' AND src_ip <> '8.8.4.3'),
 bursts AS (SELECT *, count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN 90000000 PRECEDING AND CURRENT ROW) - 1 AS n FROM fl)"""
 
 
-def _deliver(spark, sf, root, kind, state, **options):
-    """The files below <root>/in, one a batch, to the store; a new state folder delivers all of them anew."""
+def _deliver(spark, root, rdns, kind, state, **options):
+    """The files below <root>/in, _parts() of them a batch, to the store; a new state folder delivers all of them anew."""
     store = FlowStore(spark, f"{root}/store")
     options = {"now": NOW, "retention_minutes": 0, "retention_rows": 0, **options}
     query = start_ingest(
-        spark, f"{root}/in", store, f"{root}/{state}", kind, available_now=True, files_per_trigger=1,
-        rdns=fixtures.reverse_dns(spark, sf), **options,
+        spark, f"{root}/in", store, f"{root}/{state}", kind, available_now=True, files_per_trigger=_parts(spark),
+        rdns=rdns, **options,
     )
     query.awaitTermination()
     return store
 
 
-def _ingested(spark, sf, kind="packets", files=2, **options):
+def _parts(spark):
+    """Files of a delivery's batch, so that all cores write and read it."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _ingested(spark, sf, kind="packets", batches=2, **options):
+    """(store, root, names): all lines delivered in some batches; the reverse-DNS names are found once, for every batch."""
     root = scratch_path(spark, "ingest")
     lines = fixtures.packet_lines(spark, sf) if kind == "packets" else fixtures.json_payloads(spark, sf)
-    lines.select("value").repartition(files).write.text(f"{root}/in")
+    lines.select("value").repartition(batches * _parts(spark)).write.text(f"{root}/in")
     store = FlowStore(spark, f"{root}/store")
     block = spark.range(1).select(F.lit("8.8.4.3").alias("ip"), F.lit("block").alias("action"), F.lit(NOW).alias("at"))
     store.write_block_events(block, 0)
-    _deliver(spark, sf, root, kind, "state", **options)
-    return store, root
+    rdns = pinned(fixtures.reverse_dns(spark, sf))
+    _deliver(spark, root, rdns, kind, "state", **options)
+    return store, root, rdns
 
 
 def _accounting(spark, store):
@@ -65,8 +72,8 @@ def _accounting(spark, store):
     ),
 )
 def packet_stream(spark, sf):
-    """Packets in two files, one micro-batch each: stored flows, every one with one prediction whose label follows its score."""
-    store, _ = _ingested(spark, sf)
+    """Packets in two micro-batches: stored flows, every one with one prediction whose label follows its score."""
+    store, *_ = _ingested(spark, sf)
     joined = store.flows().join(store.predictions().select("flow_id", "score", "label"), F.col("id") == F.col("flow_id"), "left")
     graded = F.col("label") == threshold_label(F.col("score"), HEURISTIC_ANOMALY, HEURISTIC_WATCH)
     return joined.groupBy("src_ip", "proto").agg(
@@ -86,14 +93,14 @@ def packet_stream(spark, sf):
 )
 def stream_redelivery(spark, sf):
     """All source files delivered a second time, to the same store: the same counts, flows and predictions."""
-    store, root = _ingested(spark, sf, now=None)
+    store, root, rdns = _ingested(spark, sf, now=None)
     content = lambda: (
         store.flows().agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "timestamp", "src_ip", "dst_ip", "bytes", F.to_json("extra")) % (1 << 40))).first(),
         store.predictions().agg(F.count(F.lit(1)), F.sum(F.xxhash64("flow_id", "score", "label", "created_at") % (1 << 40))).first(),
     )
     sums = lambda: _accounting(spark, store).agg(*[F.sum(c) for c in ("ingested", "blocked", "queued", "rejected", "purged")]).first()
     before, first = content(), sums()
-    _deliver(spark, sf, root, "packets", "again", now=None)
+    _deliver(spark, root, rdns, "packets", "again", now=None)
     after, second = content(), sums()
     rows = [(n, *map(int, s), int(c[0][0]), c == before) for n, s, c in ((1, first, before), (2, second, after))]
     return spark.createDataFrame(rows, "delivery int, ingested long, blocked long, queued long, rejected long, purged long, stored long, same boolean")
@@ -156,7 +163,7 @@ SELECT CAST(sum(copies) FILTER (payload = 0 AND NOT bad AND src_ip <> '8.8.4.3')
 @register("l03_json_stream", "WITH " + _JSON_COUNTS)
 def json_stream(spark, sf):
     """Payload lines: what is stored, scored, blocked and rejected."""
-    store, _ = _ingested(spark, sf, "json")
+    store, *_ = _ingested(spark, sf, "json")
     sums = _accounting(spark, store).agg(F.sum("blocked").alias("blocked"), F.sum("rejected").alias("rejected"))
     reasons = store.rejects().agg(F.count_if(F.col("reason") == "payload").alias("payloads"), F.count_if(F.col("reason") != "payload").alias("records"))
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
@@ -166,8 +173,8 @@ def json_stream(spark, sf):
 @register("l03_k01_k03_stream_retention", "SELECT true AS purged, true AS cascaded, true AS fits")
 def stream_retention(spark, sf):
     """A late clock purges the whole store; a row limit keeps whole batches that hold the newest rows."""
-    late, _ = _ingested(spark, sf, now=datetime(2030, 1, 1, tzinfo=timezone.utc), retention_minutes=30)
-    few, _ = _ingested(spark, sf, files=4, retention_rows=100)
+    late, *_ = _ingested(spark, sf, now=datetime(2030, 1, 1, tzinfo=timezone.utc), retention_minutes=30)
+    few, *_ = _ingested(spark, sf, batches=4, retention_rows=100)
     gone = late.flows().isEmpty() and late.predictions().isEmpty()
     orphans = few.predictions().join(few.flows().select(F.col("id").alias("kept")), F.col("flow_id") == F.col("kept"), "left_anti").isEmpty()
     kept = few.flows().select("batch").distinct().count()

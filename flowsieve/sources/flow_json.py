@@ -25,15 +25,19 @@ _WORDS = (*EXTRA_TEXT_FIELDS, "service")
 _RECORDS = "array<struct<" + ", ".join(f"{n}: variant" for n in (*_CORE, *_INTS, *_FLOATS, *_WORDS)) + ">>"
 
 
-def payload_records(payloads: DataFrame, column: str = "value") -> DataFrame:
+def payload_records(payloads: DataFrame, column: str = "value", unusable: bool = False) -> DataFrame:
     """One struct `rec` of VARIANT fields per flow object; an object counts as a list of one.
 
-    Payloads of another shape give no rows. `pos` is the place of the record inside
-    its payload; other columns are kept.
+    Payloads of another shape give no rows, or with `unusable` one row without `pos` and `rec`. `pos` is
+    the place of the record inside its payload; other columns are kept.
     """
     rest = [c for c in payloads.columns if c != column]
-    each = payloads.select(*rest, F.posexplode(F.from_json(F.col(column), _RECORDS)).alias("pos", "rec"))
-    return each.where(F.col("rec").isNotNull())
+    if not unusable:
+        each = payloads.select(*rest, F.posexplode(F.from_json(F.col(column), _RECORDS)).alias("pos", "rec"))
+        return each.where(F.col("rec").isNotNull())
+    read = payloads.select(*rest, F.from_json(F.col(column), _RECORDS).alias("_records"))
+    each = read.select(*rest, F.col("_records").isNull().alias("_other"), F.posexplode_outer("_records").alias("pos", "rec"))
+    return each.where(F.col("_other") | F.col("rec").isNotNull()).drop("_other")
 
 
 def rejected_payloads(payloads: DataFrame, column: str = "value") -> DataFrame:

@@ -14,7 +14,8 @@ from flowsieve.operators.lookups import absent_predictions, mark_blocked, set_ex
 from flowsieve.operators.ordered import hash_rank
 from flowsieve.operators.upkeep import RETENTION_MINUTES, RETENTION_ROWS
 from flowsieve.plans.pipeline import choose_scorer, prediction_rows
-from flowsieve.session import pinned
+from flowsieve.plans.scoring import with_attack_type
+from flowsieve.session import kept
 from flowsieve.sources import flow_json, packets
 from flowsieve.sources.store import FlowStore
 
@@ -54,14 +55,19 @@ def packets_to_flows(lines: DataFrame, arrival: Column, batch_id: int = 0) -> tu
 
 
 def payloads_to_flows(lines: DataFrame, arrival: Column, batch_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(flows, rejects): records that can be stored, and payloads and records that can't, with the reason."""
-    payloads = pinned(numbered_lines(lines, batch_id))
-    parsed = pinned(flow_json.parsed_flows(flow_json.payload_records(payloads), arrival, keep=("id", "pos")))
-    flows = placed(flow_json.usable(parsed).withColumnRenamed("id", "payload"), F.struct("payload", "pos"), batch_id)
-    whole = flow_json.rejected_payloads(payloads).select("id", F.lit("payload").alias("reason"), "value")
-    bad = flow_json.rejected(parsed).select("id", F.col("rejected").alias("reason"), "pos")
-    records = bad.join(payloads, "id").select("id", "reason", "value")
-    return flows.drop("payload", "pos"), whole.unionByName(records)
+    """(flows, rejects): records that can be stored, and payloads and records that can't, with the reason.
+
+    Payloads are parsed once; the text goes along only with what is rejected.
+    """
+    records = flow_json.payload_records(numbered_lines(lines, batch_id).withColumn("payload", F.col("value")), unusable=True)
+    read = flow_json.parsed_flows(records, arrival, keep=("id", "pos", "payload"))
+    # A payload without records has no place.
+    reason = F.when(F.col("pos").isNull(), F.lit("payload")).otherwise(F.col("rejected"))
+    parsed = kept(read.withColumn("rejected", reason).withColumn("payload", F.when(F.col("rejected").isNotNull(), F.col("payload"))))
+    good = flow_json.usable(parsed).drop("payload").withColumnRenamed("id", "payload")
+    flows = placed(good, F.struct("payload", "pos"), batch_id)
+    rejects = flow_json.rejected(parsed).select("id", F.col("rejected").alias("reason"), F.col("payload").alias("value"))
+    return flows.drop("payload", "pos"), rejects
 
 
 def recent_history(store: FlowStore, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -97,37 +103,37 @@ def process_batch(
     """
     spark = store.spark
     now = now or store.arrival(batch_id)
-    marked = pinned(mark_blocked(flows, store.block_list()))
+    marked = mark_blocked(flows, store.block_list())
+    marked = kept(marked if rdns is None else with_reverse_dns(marked, rdns))
     counts = marked.agg(F.count_if(~F.col("blocked")).alias("ingested"), F.count_if("blocked").alias("blocked")).first()
     accepted = marked.where(~F.col("blocked")).drop("blocked")
-    if rdns is not None:
-        accepted = with_reverse_dns(accepted, rdns)
     mode, score = choose_scorer(spark, ensemble_path, detector_path, burst_mode)
-    history = recent_history(store, accepted, batch_id) if mode == "heuristic" else None
-    scored = pinned(prediction_rows(score(accepted, history), F.lit(now)))
-    tags = scored.select("flow_id", "attack_type")
-    tagged = accepted.join(tags, F.col("id") == F.col("flow_id"), "left")
-    store.write_flows(
-        tagged.withColumn("extra", set_extra(tagged.drop("attack_type"), attack_type=F.col("attack_type"))), batch_id
-    )
+    if mode == "heuristic":  # every flow comes back once, with all its columns
+        resolved = with_attack_type(score(accepted, recent_history(store, accepted, batch_id)))
+        tagged = kept(resolved.select(*accepted.columns, "score", "label", "attack_type"))
+        scored = tagged.select("id", F.col("id").alias("flow_id"), "score", "label", F.lit(now).alias("created_at"))
+    else:
+        predicted = kept(prediction_rows(score(accepted, None), F.lit(now)))
+        tagged = accepted.join(predicted.select("flow_id", "attack_type"), F.col("id") == F.col("flow_id"), "left")
+        scored = predicted.drop("attack_type")
+    store.write_flows(tagged.withColumn("extra", set_extra(tagged, attack_type=F.col("attack_type"))), batch_id)
     # Files whose ids don't reach into the batch's are left out by their statistics.
     ids = scored.agg(F.min("flow_id").alias("a"), F.max("flow_id").alias("b")).first()
     earlier = store.predictions().where(F.col("batch") < batch_id)
     earlier = earlier.where(F.col("flow_id").between(ids.a, ids.b)) if ids.a is not None else earlier.where(F.lit(False))
-    fresh = pinned(absent_predictions(earlier, scored.drop("attack_type").withColumn("seq", F.col("id"))))
-    store.write_predictions(fresh, batch_id)
+    store.write_predictions(absent_predictions(earlier, scored.withColumn("seq", F.col("id"))), batch_id)
     if rejects is not None:
-        rejects = pinned(rejects)
         store.write_rejects(rejects, batch_id)
+    stored = lambda df: df.where(F.col("batch") == batch_id).count()
     store.finish(batch_id)
     purged = store.retire(batch_id, now, retention_minutes, retention_rows)
     store.drop_stale(now, retention_minutes, retention_rows)
     return {
         "ingested": counts["ingested"],
         "blocked": counts["blocked"],
-        "scored": fresh.count(),
+        "scored": stored(store.predictions()),
         "queued": counts["ingested"],
-        "rejected": 0 if rejects is None else rejects.count(),
+        "rejected": 0 if rejects is None else stored(store.rejects()),
         "purged": purged,
     }
 
