@@ -96,24 +96,30 @@ def variant_values(variants: list[Column]) -> Column:
     Text is a string as it is, and nested values as JSON. Working on an array keeps
     one copy of each rule in the plan instead of one per field.
     """
+    # Most records have few of the keys: an absent one is passed by as null.
     seen = F.transform(
         F.array(*variants),
-        lambda v: F.struct(
-            F.schema_of_variant(v).alias("schema"), F.try_variant_get(v, "$", "string").alias("text")
+        lambda v: F.when(
+            v.isNotNull(), F.struct(F.schema_of_variant(v).alias("schema"), F.try_variant_get(v, "$", "string").alias("text"))
         ),
     )
+    nothing = F.lit(None).cast("string")
+    absent = F.struct(F.lit("absent").alias("kind"), nothing.alias("text"), nothing.alias("plain"))
 
     def classify(s: Column) -> Column:
         schema = s["schema"]
         kind = (
-            F.when(schema.isNull(), F.lit("absent"))
-            .when(schema == "STRING", F.lit("text"))
+            F.when(schema == "STRING", F.lit("text"))
             .when(schema == "VOID", F.lit("null"))
             .when(schema == "BOOLEAN", F.lit("flag"))
             .when(schema.startswith("OBJECT") | schema.startswith("ARRAY"), F.lit("nested"))
             .otherwise(F.lit("number"))
         )
-        return F.struct(kind.alias("kind"), s["text"].alias("text"), strip(s["text"]).alias("plain"))
+        # Numbers and flags have nothing to trim.
+        trims = (schema == "STRING") | schema.startswith("OBJECT") | schema.startswith("ARRAY")
+        plain = F.when(trims, strip(s["text"])).otherwise(s["text"])
+        present = F.struct(kind.alias("kind"), s["text"].alias("text"), plain.alias("plain"))
+        return F.when(s.isNull(), absent).otherwise(present)
 
     return F.transform(seen, classify)
 
