@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +17,56 @@ from flowsieve.operators.neighbours import NeighbourIndex, distinct_points, k_ne
 from flowsieve.operators.ordered import exact_quantile
 from flowsieve.session import pinned
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Bytes of the points' values that every task may hold; those of more points are joined.
+HERE_BYTES = 128 << 20
 
 def _exploded(near: DataFrame) -> DataFrame:
     return near.select("query", F.explode("near").alias("e")).select("query", F.col("e.d").alias("d"), F.col("e.point").alias("point"), F.col("e.n").alias("n"))
 
 
+def _mean(near: DataFrame, known: DataFrame, name: str, reaching: bool) -> DataFrame:
+    """(query, mean): over a query's neighbours what `known` has of them under the name; reaching: their distance, if that is larger.
+
+    Values of so many points as a task can hold are looked up where the neighbours are: a join deals a row for each neighbour twice.
+    """
+    if 16 * known.count() > HERE_BYTES:
+        value = F.greatest("d", name) if reaching else F.col(name)
+        return _exploded(near).join(known, "point").groupBy("query").agg((F.sum(F.col("n") * value) / F.sum("n")).alias("mean"))
+    table = known.select("point", F.col(name).cast("double").alias("value")).where("point IS NOT NULL AND value IS NOT NULL").toArrow()
+    point, value = table["point"].to_numpy(), table["value"].to_numpy()
+    order = np.argsort(point)
+    point, value = point[order], value[order]
+    del table, order
+    sent = near.sparkSession.sparkContext.broadcast((point, value))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point, value = sent.value
+        for batch in batches:
+            lists = batch["near"]
+            query = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            d, of, n = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            at = np.searchsorted(point, of)
+            inside = np.flatnonzero(at < len(point))
+            inside = inside[point[at[inside]] == of[inside]]
+            query, d, n, v = query[inside], d[inside], n[inside], value[at[inside]]
+            total, weight = np.bincount(query, n * (np.maximum(d, v) if reaching else v), len(lists)), np.bincount(query, n, len(lists))
+            some = np.flatnonzero(weight)
+            yield pa.RecordBatch.from_arrays([batch["query"].take(pa.array(some)), pa.array(total[some] / weight[some])], ["query", "mean"])
+
+    return near.select("query", "near").mapInArrow(run, "query long, mean double")
+
+
 def _density(near: DataFrame, reach: DataFrame) -> DataFrame:
     """(query, density): the inverse of the mean reachability distance to the neighbours."""
-    far = F.sum(F.col("n") * F.greatest("d", "reach")) / F.sum("n")
-    return _exploded(near).join(reach, "point").groupBy("query").agg((1 / (far + 1e-10)).alias("density"))
+    return _mean(near, reach, "reach", reaching=True).select("query", (1 / (F.col("mean") + 1e-10)).alias("density"))
 
 
 def _factor(near: DataFrame, own: DataFrame, density: DataFrame) -> DataFrame:
     """(query, factor): the mean density of the neighbours over the query's own."""
-    mean = _exploded(near).join(density, "point").groupBy("query").agg((F.sum(F.col("n") * F.col("density")) / F.sum("n")).alias("around"))
-    return mean.join(own.withColumnRenamed("density", "own"), "query").select("query", (F.col("around") / F.col("own")).alias("factor"))
+    around = _mean(near, density, "density", reaching=False)
+    return around.join(own.withColumnRenamed("density", "own"), "query").select("query", (F.col("mean") / F.col("own")).alias("factor"))
 
 
 @dataclass
